@@ -14,33 +14,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_words, fresh
+from .common import fresh
 
 STATS = ("chars", "words", "word_length", "symbols", "capitals", "digits", "marks", "exclaims", "beyond_ascii", "lines", "repeated_words", "repeated_lines", "blank")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct column named by :func:`stats_name`: ratios and counts of the whole text, null as empty."""
+    """``docs`` with a struct column of :data:`STATS`: ratios and counts of the whole text, null as empty."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    text, rest, words, lines, out = fresh(docs, "t", "rest", "words", "lines", "stats")
+    text, rest, words, lines, ascii_, blank, out = fresh(docs, "t", "rest", "words", "lines", "ascii", "blank", "stats")
     # What is neither a small letter nor beyond ASCII: a short string that all marks are counted on.
     staged = docs.withColumn(text, t).withColumns(
         {
             rest: F.regexp_replace(text, r"[a-z\u0080-\x{10FFFF}]+", ""),
-            words: F.size(F.array_distinct(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))),
+            words: F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""),
             lines: F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0),
+            ascii_: F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")),
+            text: F.length(text),
         }
     )
-    n, nw, ascii_ = F.greatest(F.length(text), F.lit(1)), count_words(F.col(text)), F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    n, some = F.greatest(F.col(text), F.lit(1)), lambda x: F.greatest(x, F.lit(1))
     only = lambda kept: F.length(F.regexp_replace(rest, f"[^{kept}]+", "")) / n
-    some = lambda x: F.greatest(x, F.lit(1))
-    blank = only(r"\x20\x09-\x0D")
+    staged = staged.withColumn(blank, only(r"\x20\x09-\x0D"))
+    nw = F.size(words)
     figures = {
-        "chars": F.length(text), "words": nw, "word_length": (1 - blank) * n / some(nw), "symbols": only(r"#*$%&|<>"), "capitals": only("A-Z"), "digits": only("0-9"),
-        "marks": only(r".,;:?"), "exclaims": only("!"), "beyond_ascii": ascii_ / n, "lines": F.size(lines), "repeated_words": 1 - F.col(words) / some(nw),
-        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / some(F.size(lines)), "blank": blank,
+        "chars": F.col(text), "words": nw, "word_length": (1 - F.col(blank)) * n / some(nw), "symbols": only(r"#*$%&|<>"), "capitals": only("A-Z"), "digits": only("0-9"),
+        "marks": only(r".,;:?"), "exclaims": only("!"), "beyond_ascii": F.col(ascii_) / n, "lines": F.size(lines), "repeated_words": 1 - F.size(F.array_distinct(words)) / some(nw),
+        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / some(F.size(lines)), "blank": F.col(blank),
     }
-    return staged.withColumn(out, F.struct(*(figures[k].cast("double").alias(k) for k in STATS))).drop(text, rest, words, lines)
+    return staged.withColumn(out, F.struct(*(figures[k].cast("double").alias(k) for k in STATS))).drop(text, rest, words, lines, ascii_, blank)
 
 
 Condition = tuple[int, bool, float]  # statistic, above?, threshold
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col:
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_name: str | None = None) -> DataFrame:
     """``docs`` with a score from 0 to 1. Null and empty texts are scored as empty; every row stays."""
     name = score_name or fresh(docs, "score")[0]
-    *_, stats = fresh(docs, "t", "rest", "words", "lines", "stats")
+    stats = fresh(docs, "stats")[0]
     return statistics(docs, text_col).withColumn(name, model.column(stats)).drop(stats)
 
 

@@ -60,7 +60,6 @@ RULES = (
     Rule("symbols", "n_symbols", "word_chars", most=50),
     Rule("stop_words", "n_stop_words", "n_words", least=20),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=300),
-    Rule("bare_words", "n_bare_words", "n_words", most=250),
 )
 
 
@@ -79,7 +78,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = F.when(last >= 2, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.xxhash64(*(F.get("wh", i + k) for k in range(5))))).otherwise(F.array().cast("array<bigint>"))
     hashed = hashed.select("doc_id", "t", "w", windows.alias("g"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
-    stop = F.array(*(F.lit(x) for x in dict.fromkeys(STOP_WORDS)))
+    stop = list(dict.fromkeys(STOP_WORDS))
     counted = hashed.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
@@ -88,9 +87,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lines.alias("lines"),
         "g",
         F.size(F.array_distinct("g")).alias("n_g"),
-        # A bare word is a blank-separated mark without letter or digit.
-        F.size(F.filter("w", lambda x: ~x.rlike(r"[0-9A-Za-z\u0080-￿]"))).cast("long").alias("n_bare_words"),
-        F.size(F.filter("w", lambda x: F.array_contains(stop, F.lower(F.rtrim(x, F.lit(".,")))))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("w", lambda x: F.lower(F.rtrim(x, F.lit(".,"))).isin(stop))).cast("long").alias("n_stop_words"),
     )
     order = F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     twice = counted.withColumn("s", F.when(F.size("g") > F.col("n_g"), order))
@@ -103,7 +100,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        "n_stop_words", "n_bare_words",
+        "n_stop_words",
     )
 
 

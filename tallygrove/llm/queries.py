@@ -90,7 +90,6 @@ counted AS (
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9A-Za-z\x{{80}}-\x{{FFFF}}]'))) AS BIGINT) AS n_bare_words,
     CAST(len(list_filter(w, lambda x: lower(rtrim(x, '.,')) IN ({stop}))) AS BIGINT) AS n_stop_words
   FROM base LEFT JOIN covered ON base.doc_id = covered.doc_id
 ), tested AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)

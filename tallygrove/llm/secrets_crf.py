@@ -5,9 +5,11 @@ the kinds of the neighbouring tokens, and features of the whole file; Viterbi
 finds the best tags. The model is small and trained here, on generated lines, by
 gradient ascent on the exact likelihood (forward-backward).
 
-Decoding is exact yet skips most tokens: a token whose own scores fall so far
-short of O that no neighbours and no transition could make up for it is O in
-every best path, so only the runs between such tokens are decoded.
+A secret has eight bytes or more and is not purely alphabetic: tokens that are
+not so can only be O, in training and in decoding. Of the rest, a token whose
+own scores fall so far short of O that no neighbours and no transition could
+make up for it is O in every best path. So only the runs between such tokens are
+decoded, with the same result as decoding every token.
 
 Spans of three fixed shapes are always reported; the field adds to them.
 """
@@ -48,7 +50,10 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
 # --- features -----------------------------------------------------------------
 
 _TOKENS = re.compile(rb"[^\x20\x09-\x0D]+")
-_PLAIN = re.compile(rb"""["'(]?[A-Za-z\x80-\xff]+[.,;:!?)"']*""")
+_PLAIN_SHAPE = rb"""["'(]?[A-Za-z\x80-\xff]+[.,;:!?)"']*"""
+_PLAIN = re.compile(_PLAIN_SHAPE)
+#: Tokens of eight bytes or more that are not purely alphabetic.
+_ODD = re.compile(rb"(?<![^\x20\x09-\x0D])(?!" + _PLAIN_SHAPE + rb"(?![^\x20\x09-\x0D]))[^\x20\x09-\x0D]{8,}")
 _CUE = re.compile(rb"""(?i)["']?[a-z0-9_.-]*(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|private[_-]?key|auth)[a-z0-9_-]*["']?([:=]{0,2})""")
 _PREFIX = re.compile(rb"""["']?(?:gh[opsu]_|github_pat_|sk[-_]|pk[-_]|xox[abprs]-|AKIA|ASIA|AIza|eyJ|glpat-|npm_|SG\.|-----BEGIN)""")
 _KNOWN = re.compile(rb"""(?:[a-z]+://|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|[0-9().+-]+[.,]?$)""")
@@ -72,17 +77,23 @@ def kind_of(token: bytes) -> int:
 
 
 def shape(token: bytes) -> tuple[int, ...]:
-    """Indices of the own features that hold."""
-    on = [0]
+    """Indices of the own features that hold. Short and purely alphabetic tokens have only their length, and cues."""
     core = token.strip(b"\"'`,;()[]{}<>")
-    n = len(core)
-    on.append(1 if n < 8 else 2 if n < 12 else 3 if n < 20 else 4 if n < 32 else 5)
-    digits = sum(c in b"0123456789" for c in core)
-    if _PLAIN.fullmatch(token):
+    n, k = len(core), kind_of(token)
+    on = [0, 1 if n < 8 else 2 if n < 12 else 3 if n < 20 else 4 if n < 32 else 5]
+    if k in (CUE, CUE_OP):
+        on.append(20)
+    if k == BEGIN:
+        on.append(21)
+    plain = _PLAIN.fullmatch(token)
+    if plain:
         on.append(6)
+    if n < 8 or plain:
+        return tuple(on)
+    digits = sum(c in b"0123456789" for c in core)
     if digits:
         on.append(7)
-    if n and 3 * digits > n:
+    if 3 * digits > n:
         on.append(22)
     if core != core.lower() and core != core.upper() and digits:
         on.append(8)
@@ -90,9 +101,8 @@ def shape(token: bytes) -> tuple[int, ...]:
         on.append(9)
     if n >= 12 and digits and re.fullmatch(rb"[A-Za-z0-9+/_=.-]+", core):
         on.append(10)
-    if n >= 8:
-        h = -sum(c / n * math.log2(c / n) for c in Counter(core).values())
-        on += [11] * (h > 3) + [12] * (h > 3.5) + [13] * (h > 4)
+    h = -sum(c / n * math.log2(c / n) for c in Counter(core).values())
+    on += [11] * (h > 3) + [12] * (h > 3.5) + [13] * (h > 4)
     if _PREFIX.match(token):
         on.append(14)
     if _KNOWN.match(core):
@@ -105,11 +115,6 @@ def shape(token: bytes) -> tuple[int, ...]:
         on.append(18)
     if any(c in b"=:" for c in core[1:-1]):
         on.append(19)
-    k = kind_of(token)
-    if k in (CUE, CUE_OP):
-        on.append(20)
-    if k == BEGIN:
-        on.append(21)
     return tuple(on)
 
 
@@ -178,7 +183,7 @@ def _generated(seed: int, lines: int) -> list[tuple[list[bytes], list[int]]]:
         def add(text: str, tag: int = O, tokens=tokens, tags=tags) -> None:
             for k, t in enumerate(text.split()):
                 tokens.append(t.encode())
-                tags.append(tag if k == 0 or tag == O else I)
+                tags.append((tag if k == 0 or tag == O else I) if _ODD.fullmatch(tokens[-1]) else O)
 
         for _ in range(int(rng.integers(2, 12))):
             add(word() if rng.random() < 0.9 else other())
@@ -217,7 +222,7 @@ def _design(tokens: list[bytes]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def train_field(lines: int = 1200, steps: int = 220, seed: int = 3, decay: float = 2e-3) -> Field:
+def train_field(lines: int = 800, steps: int = 150, seed: int = 3, decay: float = 2e-3) -> Field:
     """Maximum likelihood with a small ridge, by Adam over all lines at once. Deterministic."""
     data = _generated(seed, lines)
     width = max(len(t) for t, _ in data)
@@ -271,62 +276,71 @@ def train_field(lines: int = 1200, steps: int = 220, seed: int = 3, decay: float
 
 
 class _Classes(dict):
-    """Token -> class number; classes differ in own features or kind. Bounded: forgets all when full."""
+    """Own features and kind -> (scores, whether the token can only be O)."""
 
-    def __init__(self, field: Field, most: int = 400_000):
+    def __init__(self, field: Field):
         super().__init__()
-        self.field, self.most, self.number, self.own, self.kind, self.safe = field, most, {}, [], [], []
+        self.field = field
+
+    def __missing__(self, on: tuple[int, ...]) -> tuple[np.ndarray, bool]:
+        own = self.field.score(on)
+        self[on] = own, self.field.safe(own)
+        return self[on]
+
+
+_BLANK = b" \t\n\x0b\x0c\r"
+
 
-    def __missing__(self, token: bytes) -> int:
-        key = (shape(token), kind_of(token))
-        if key not in self.number:
-            self.number[key] = len(self.own)
-            self.own.append(self.field.score(key[0]))
-            self.kind.append(key[1])
-            self.safe.append(self.field.safe(self.own[-1]))
-        if len(self) >= self.most:
-            self.clear()
-        self[token] = self.number[key]
-        return self.number[key]
+def _token_before(raw: bytes, at: int) -> tuple[bytes, int] | None:
+    """The token that ends before ``at``, and its beginning."""
+    end = at
+    while end and raw[end - 1] in _BLANK:
+        end -= 1
+    start = end
+    while start and raw[start - 1] not in _BLANK:
+        start -= 1
+    return (raw[start:end], start) if end else None
 
 
 def field_spans(raw: bytes, low: bytes, field: Field, classes: _Classes) -> list[tuple[int, int]]:
     """Byte ranges that the field tags as secrets, without quotes and closing marks."""
-    tokens = _TOKENS.findall(raw)
-    ids = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
-    open_ = np.flatnonzero(~np.array(classes.safe, bool)[ids]) if len(ids) else ids
-    if not len(open_):
+    runs: list[list[tuple[int, int, np.ndarray]]] = []
+    for m in _ODD.finditer(raw):
+        own, safe = classes[shape(m[0])]
+        if safe:
+            continue
+        joined = runs and not raw[runs[-1][-1][1] : m.start()].strip(_BLANK)
+        (runs[-1] if joined else runs.append([]) or runs[-1]).append((m.start(), m.end(), own))
+    if not runs:
         return []
     whole = sum((field.whole[k] for k, on in enumerate(file_features(low)) if on), np.zeros(TAGS))
-    spans: list[tuple[int, int]] = []
-    for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
+    out = []
+    for run in runs:
         scores = []
-        for i in run:
-            s = classes.own[ids[i]] + whole
-            for w, j in ((field.before, i - 1), (field.before2, i - 2), (field.after, i + 1)):
-                if 0 <= j < len(ids):
-                    s = s + w[classes.kind[ids[j]]]
+        for a, b, own in run:
+            s = own + whole
+            if one := _token_before(raw, a):
+                s = s + field.before[kind_of(one[0])]
+                if two := _token_before(raw, one[1]):
+                    s = s + field.before2[kind_of(two[0])]
+            if after := _TOKENS.search(raw, b):
+                s = s + field.after[kind_of(after[0])]
             scores.append(s)
-        tags = viterbi(np.array(scores), field.trans)
-        start = None
-        for i, tag in zip([*run, run[-1] + 1], [*tags, O], strict=True):
+        tags, start = viterbi(np.array(scores), field.trans), None
+        for k, tag in enumerate([*tags, O]):
             if start is not None and tag != I:
-                spans.append((start, i - 1))
+                out.append((run[start][0], run[k - 1][1]))
                 start = None
             if start is None and tag != O:
-                start = i
-    if not spans:
-        return []
-    places = [m.span() for m in _TOKENS.finditer(raw)]
-    out = []
-    for first, last in spans:
-        a, b = places[first][0], places[last][1]
+                start = k
+    trimmed = []
+    for a, b in out:
         part = raw[a:b]
-        inner = part.lstrip(b"\"'`([{<").rstrip(b"\"'`)]}>,;.:!?")
+        left = len(part) - len(part.lstrip(b"\"'`([{<"))
+        inner = part[left:].rstrip(b"\"'`)]}>,;.:!?")
         if inner:
-            a += len(part) - len(part.lstrip(b"\"'`([{<"))
-            out.append((a, a + len(inner)))
-    return out
+            trimmed.append((a + left, a + left + len(inner)))
+    return trimmed
 
 
 def find_secrets(raw: bytes | None, field: Field, classes: _Classes) -> list[tuple[int, int, int]]:
