@@ -1,0 +1 @@
+"""Analytics over repeated measures, as lazy DataFrame plans."""

@@ -1,0 +1 @@
+"""Increments are append-and-resume batches: see ``operators.match.remaining`` and ``sources.jsonl``."""
