@@ -45,7 +45,7 @@ def audit_reconcile(spark, sf):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leakage_guard(spark, sf):
-    """Items are a bounded list: each text is searched for all of them where it is read."""
+    """The items, a short list, are one row that every text is searched with where it is read."""
     items = table(spark, sf, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
     docs = table(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(items))
     return docs.select("doc_id", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["text"]))).alias("i")).select("doc_id", "i.item_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, unit
+from ..functions.scalars import unit
 from ..operators import retrieve
 from ..sources.tables import table
 from .registry import query
@@ -30,12 +30,9 @@ def bm25_topk(spark, sf):
 _COSINE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), sims AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(d.e, d.e)) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"""
 
 
-def _cosine(spark, sf, extra=None):
-    """A block of query vectors goes to every task, beside which the other vectors stream by."""
+def _cosine(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("e"))
-    queries = vectors.where(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query"), F.col("e").alias("q"))
-    met = vectors.crossJoin(F.broadcast(queries)).where("vec_id <> query")
-    return met.select("query", F.col("vec_id").alias("doc"), dot(F.col("q"), F.col("e")).alias("score"))
+    return retrieve.cosine(vectors, vectors.where(F.pmod("vec_id", F.lit(50)) == 0), "vec_id", "e")
 
 
 @query(f"WITH {_COSINE} SELECT query, doc, round(score, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM sims) WHERE k <= 16")
@@ -53,7 +50,7 @@ def _fused(spark, sf):
     sims = _cosine(spark, sf)
     asked = table(spark, sf, "benchmark").where(F.pmod("item_id", F.lit(50)) == 0).select(F.col("item_id").alias("query"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
-    met = sims.join(F.broadcast(asked), "query").join(docs, "doc").withColumnRenamed("score", "semantic")
+    met = sims.join(asked, "query").join(docs, "doc").withColumnRenamed("score", "semantic")
     met = met.join(_bm25(spark, sf).withColumnRenamed("score", "keyword"), ["query", "doc"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     return retrieve.fused(met, "query", "doc", "keyword", "semantic")
 

@@ -79,7 +79,7 @@ binned AS (SELECT c.*, (e1 <= price)::INT + (e2 <= price AND e2 > e1)::INT + (e3
 def price_bins(spark, sf):
     rows = cat(spark, sf)
     edges = baseline.price_edges(rows.where("split = 'train'"), "item", "price")
-    return rows.join(F.broadcast(edges), "item").groupBy("item", bin_index(F.col("price"), F.col("edges")).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return rows.join(edges, "item").groupBy("item", bin_index(F.col("price"), F.col("edges")).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 _PRICE = f"""{_EDGES}, prior AS (SELECT item, (count(*) FILTER (code = 1) + 1e0) / (count(*) + 2) AS p1, (count(*) FILTER (code = 2) + 1e0) / (count(*) + 2) AS p2 FROM cat WHERE split = 'train' GROUP BY 1),
@@ -98,8 +98,8 @@ def calibration_bins(spark, sf):
     train, dev = rows.where("split = 'train'"), rows.where("split = 'dev'")
     rates = baseline.price_rates(train, "item", "code", "price", 2).where("code = 1").select("item", "bin", "rate")
     edges = baseline.price_edges(train, "item", "price")
-    binned = dev.join(F.broadcast(edges), "item").withColumn("bin", bin_index(F.col("price"), F.col("edges")))
-    met = binned.join(F.broadcast(rates), ["item", "bin"])
+    binned = dev.join(edges, "item").withColumn("bin", bin_index(F.col("price"), F.col("edges")))
+    met = binned.join(rates, ["item", "bin"])
     return met.groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg((F.col("code") == 1).cast("double"))).alias("observed"), r6(F.avg("rate")).alias("predicted"))
 
 
@@ -204,7 +204,7 @@ def paired_diff(spark, sf):
     rows = pairs(spark, sf)
     medians = rows.groupBy("grp").agg(F.median("later").alias("md"))
     other = 1 - F.try_divide(F.abs(F.col("later") - F.col("md")), F.col("hi") - F.col("lo"))
-    return aggregate.macro(rows.join(F.broadcast(medians), "grp").withColumn("diff", F.col("agreement") - other), "person", "grp", "diff").select(r6(F.col("macro")).alias("difference"), "groups")
+    return aggregate.macro(rows.join(medians, "grp").withColumn("diff", F.col("agreement") - other), "person", "grp", "diff").select(r6(F.col("macro")).alias("difference"), "groups")
 
 
 _RUNS = f"""runs AS (SELECT event_id, run, CASE WHEN run = 2 AND event_id % 29 = 0 THEN NULL ELSE {h("'run|' || run || '|' || event_id")} % 2 END AS v FROM events, (SELECT unnest([1, 2, 3]) AS run))"""
@@ -244,7 +244,7 @@ def vector_compare(spark, sf):
 
     vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     first = vectors.groupBy("label").agg(F.min_by("a", "vec_id").alias("b"))
-    met = vectors.join(F.broadcast(first), "label").withColumn("d", F.zip_with("a", "b", lambda x, y: x - y))
+    met = vectors.join(first, "label").withColumn("d", F.zip_with("a", "b", lambda x, y: x - y))
     most = F.array_max(F.transform("d", lambda x: F.abs(x)))
     cosine = dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
     return met.select("vec_id", F.round(most, 5).alias("most"), F.round(F.sqrt(dot(F.col("d"), F.col("d"))) / F.sqrt(dot(F.col("b"), F.col("b"))), 5).alias("relative"), F.round(cosine, 5).alias("cosine"))

@@ -14,7 +14,7 @@ def read_recovered(spark: SparkSession, path: str, schema: StructType | str) ->
     changed. Lines carry no place, so the torn tail is cut from the bytes first:
     use it for logs whose single files fit in a task.
     """
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("utf-8")).alias("text"))
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "utf-8").alias("text"))
     cut = F.regexp_extract("text", r"(?s)^(.*)\n", 1)
     lines = whole.select(F.explode(F.split(cut, "\n")).alias("line")).where("line <> ''")
     return lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")

@@ -16,7 +16,7 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 def membership(splits: DataFrame, names: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
     """``(split, pid)`` from one row of arrays."""
-    return splits.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n))))).alias("split", "pids")).select("split", F.explode("pids").cast("string").alias("pid"))
+    return splits.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n))))).alias("split", "pids")).select("split", F.explode(F.col("pids").cast("array<string>")).alias("pid"))
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
