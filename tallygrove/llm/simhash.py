@@ -189,9 +189,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text one stays. Texts cross the network once, to meet the list of what stays.
     """
     marked, grouped = _marked(docs, id_col, text_col, shingle, max_bits, block)
+    # Copies are summed, then each fingerprint sends one row: a large group of either never meets in one task.
     rows = marked.groupBy("fp", "doc_id", "text_hash").count()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "count")).alias("best")
-    best = rows.join(grouped.select("fp", "root"), "fp").groupBy("root").agg(first)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "count")
+    each = rows.groupBy("fp").agg(F.min(order).alias("best"))
+    best = each.join(grouped.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
     twin, mark, number = fresh(docs, "twin", "mark", "number")
     best = materialize(best.select(F.col("best.doc_id").alias(twin), F.col("best.text_hash").alias(mark), F.col("best.count").alias(number)))
     same = docs[id_col].eqNullSafe(best[twin]) & (F.xxhash64(docs[text_col].cast("string")) == best[mark])
