@@ -95,13 +95,16 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = F.filter(F.transform("s", lambda x, k: F.when((x["h"] == h(k - 1)) | (x["h"] == h(k + 1)), x["i"])), lambda x: x.isNotNull())
     placed = twice.withColumn("p", F.when(F.col("s").isNotNull(), F.array_sort(same)))
     covered = F.aggregate(F.transform("p", lambda x, k: F.least(F.lit(5), F.coalesce(F.get("p", k + 1) - x, F.lit(5)))), F.lit(0).cast("long"), lambda n, x: n + x)
-    return placed.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
+    told = F.struct(
+        "n_words", "word_chars", "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_stop_words",
     )
+    # One row in, one row out: a filter on the figures stays above this step, else the
+    # optimizer would write the whole chain of expressions out into the filter.
+    return placed.select("doc_id", F.inline(F.array(told)))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
