@@ -59,7 +59,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", least=2_000, most=12_000),
     Rule("symbols", "n_symbols", "word_chars", most=50),
     Rule("stop_words", "n_stop_words", "n_words", least=20),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=300),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=500),
 )
 
 
