@@ -188,7 +188,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Null ids come last; equal ids go by the text's hash; of rows equal in id and
     text one stays. Texts cross the network once, to meet the list of what stays.
     """
-    marked, grouped = _marked(docs, id_col, text_col, shingle, max_bits, block)
+    return one_of_each(docs, *_marked(docs, id_col, text_col, shingle, max_bits, block), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay of the components ``grouped(fp, root)`` of the rows ``marked(doc_id, text_hash, fp)``."""
     # Copies are summed, then each fingerprint sends one row: a large group of either never meets in one task.
     rows = marked.groupBy("fp", "doc_id", "text_hash").count()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "count")
