@@ -49,6 +49,11 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more; it looks for them when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` has not, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []
