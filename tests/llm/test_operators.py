@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallygrove.llm import decontam, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets_crf, sharding, simhash, warc
+from tallygrove.llm import decontam, mixing, pii, quality_classifier, quality_rules, secrets_crf, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b + c for a in ("the", "re", "on", "st") for b in ("an", "in", "or", "ed") for c in ("", "th", "ing", "ly")]
@@ -229,91 +229,6 @@ def test_viterbi_against_all_paths():
         assert tuple(secrets_crf.viterbi(s, tr)) == best
 
 
-# --- 7 ------------------------------------------------------------------------
-
-
-def test_line_components_against_all_pairs(spark, docs_of):
-    rng = random.Random(7)
-    lines = [prose(rng, 30) for _ in range(60)]
-    for i in range(40):  # near copies: a word or two changed
-        w = lines[i].split()
-        for _ in range(rng.choice([1, 2])):
-            w[rng.randrange(30)] = "changed"
-        lines.append(" ".join(w))
-    base = prose(rng, 60).split()
-    for i in range(60):  # a large group of near copies
-        w = list(base)
-        w[i] = f"x{i}"
-        lines.append(" ".join(w))
-    rng.shuffle(lines)
-    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(40)] + [(99, f"{lines[0]}\n\n{lines[5]}"), (100, None)]
-    got = line_dedup.line_components(docs_of(rows)).toPandas()
-
-    def shingle_set(line):
-        return {line[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S", line)}
-
-    sets, parent = [shingle_set(x) for x in lines], list(range(len(lines)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                parent[find(i)] = find(j)
-    want = len({find(i) for i in range(len(lines))})
-    assert len(got) == len(set(lines)) and got.root.nunique() == want
-    clean = line_dedup.dedup_lines(docs_of(rows), text_col="text").toPandas().set_index("doc_id")
-    left = [x for t in clean.text.dropna() for x in t.split("\n") if x]
-    assert len(left) == want and clean.loc[100].text is None and clean.loc[99].text == ""
-
-
-def test_large_buckets_lose_no_pair(spark, docs_of):
-    """Many small classes in large buckets: components are those of all pairs that share a band."""
-    rng = random.Random(11)
-    base, lines = prose(rng, 90).split(), []
-    for c in range(70):
-        own = list(base)
-        at = rng.randrange(80)
-        own[at : at + 6] = [f"c{c}n{k}" for k in range(6)]
-        for m in range(3):
-            w = list(own)
-            w[(at + 20 + 7 * m) % 90] = f"m{c}x{m}"
-            lines.append(" ".join(w))
-    docs = docs_of([(i, x) for i, x in enumerate(lines)])
-    got = line_dedup.line_components(docs).toPandas()
-    keyed = line_dedup.band_keys(docs, "doc_id", "text", 12, 7, 3).toPandas()
-    sets = [{x[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)\S", x)} for x in lines]
-    near, parent = set(), list(range(len(lines)))
-    for _, members in keyed.groupby("key").lid:
-        near |= {(i, j) for i in members for j in members if i < j}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, j in near:
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            parent[find(i)] = find(j)
-    assert keyed.groupby("key").size().max() > 3 * line_dedup.SMALL
-    want = {frozenset(i for i in range(len(lines)) if find(i) == r) for r in map(find, range(len(lines)))}
-    assert {frozenset(x) for _, x in got.groupby("root").doc_id} == want and len(want) > 20
-    assert {frozenset(x) for _, x in got.groupby("root").doc_id} == {frozenset(x) for _, x in _dealt(line_dedup, docs).groupby("root").doc_id}
-
-
-def _dealt(module, docs):
-    """The same with blocks of few members, so that buckets are cut."""
-    plain = module.remaining_pairs
-    module.remaining_pairs = lambda *a: plain(*a, few=0, block=8)
-    try:
-        return module.line_components(docs).toPandas()
-    finally:
-        module.remaining_pairs = plain
-
-
 # --- 8 ------------------------------------------------------------------------
 
 
