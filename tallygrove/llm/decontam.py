@@ -5,9 +5,10 @@ texts stream through it word by word; after each word it knows the longest run,
 ending there, that some item contains. Where that length reaches the window,
 the words are hit; the items come from the state that holds the window itself.
 
-Items are few and bounded: their size is counted first, and beyond
-``max_item_bytes`` they are cut into several automata that the documents stream
-through in turn, so neither the driver nor a task ever holds more than one.
+Items are few and bounded: their words are counted first, and beyond ``max_words``
+they are dealt into several automata that the documents stream through in turn, a
+written table between them, so neither the driver nor a task ever holds more than one.
+An automaton has at most two states a word; a state was measured at 700 bytes.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import fresh, materialize
+from .common import forget, fresh, materialize
 
 #: ASCII letters and digits, and everything beyond ASCII, in UTF-8.
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_GRAM = 3
+#: The same words for the JVM, in texts that are not lower-cased.
+_WORD_JVM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -67,10 +71,6 @@ class ItemAutomaton:
         self.short: list[tuple] = [()] * n
         for v in order[1:]:
             self.short[v] = self.short[self.link[v]] + tuple(own.get(v, ()))
-        least = min((min(len(w), window) for _, w in items), default=0)
-        self.gram = min(_GRAM, least)
-        self.stride = least - self.gram + 1
-        self.grams = {g for _, w in items for g in zip(*(w[j:] for j in range(self.gram)), strict=False)} if least else set()
 
     def _new(self, step: dict, link: int, length: int) -> int:
         self.step.append(step)
@@ -101,48 +101,32 @@ class ItemAutomaton:
         return now
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Hit spans of words (start, end; merged), the items with occurring windows, the longest run found.
-
-        A window must hold a gram of the items at some multiple of the stride;
-        only from such places on are words streamed, beginning where the grams do.
-        """
+        """Hit spans of words (start, end; merged), the items with occurring windows, the longest run found; every word is streamed."""
         spans: list[tuple[int, int]] = []
         items: set = set()
-        longest = done = 0
-        if not self.grams:
-            return spans, items, longest
-        g, s, grams = self.gram, self.stride, self.grams
-        anchors = [k * s for k, t in enumerate(zip(*(words[j::s] for j in range(g)), strict=False)) if t in grams] if s > 1 else [k for k, t in enumerate(zip(*(words[j:] for j in range(g)), strict=False)) if t in grams]
-        step, link, length = self.step, self.link, self.length
-        for anchor in anchors:
-            if anchor < done:
+        step, link, length, short, window = self.step, self.link, self.length, self.short, self.window
+        begin = step[0]
+        v = run = longest = 0
+        for i, word in enumerate(words):
+            if not v and word not in begin:
                 continue
-            at = anchor
-            while at > done and tuple(words[at - 1 : at - 1 + g]) in grams:
-                at -= 1
-            v = run = 0
-            for i in range(at, len(words)):
-                word = words[i]
-                while v and word not in step[v]:
-                    v = link[v]
-                    run = length[v]
-                if word in step[v]:
-                    v, run = step[v][word], run + 1
-                else:
-                    run = 0
-                longest = max(longest, run)
-                if run >= self.window:
-                    spans.append((i - run + 1, i + 1))
-                    items |= self.window_items.get(self.at_window[v] if length[v] >= self.window else -1, ())
-                for size, item in self.short[v]:
-                    if size <= run:
-                        spans.append((i - size + 1, i + 1))
-                        items.add(item)
-                done = i - run + 1
-                if run < g and i >= anchor + g - 1:
-                    break
-            else:
-                break
+            while v and word not in step[v]:
+                v = link[v]
+                run = length[v]
+            to = step[v].get(word)
+            if to is None:
+                run = 0
+                continue
+            v, run = to, run + 1
+            if run > longest:
+                longest = run
+            if run >= window:
+                spans.append((i - run + 1, i + 1))
+                items |= self.window_items.get(self.at_window[v] if length[v] >= window else -1, ())
+            for size, item in short[v]:
+                if size <= run:
+                    spans.append((i - size + 1, i + 1))
+                    items.add(item)
         return merged(spans), items, longest
 
 
@@ -156,28 +140,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(bench: DataFrame, id_col: str, text_col: str, window: int, max_item_bytes: int) -> Iterator[ItemAutomaton]:
-    """Automata over all items, each of about ``max_item_bytes`` at most."""
+def automata(bench: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[ItemAutomaton]:
+    """Automata over all items, each of about ``max_words`` words, of one item at least."""
     items = bench.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, math.ceil(total / max_item_bytes))
+    total = items.agg(F.sum(F.regexp_count("t", F.lit(_WORD_JVM)))).first()[0] or 0
+    parts = max(1, math.ceil(total / max_words))
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(parts)) == k) if parts > 1 else items
         yield ItemAutomaton([(r.i, words_of(r.t.encode())) for r in part.collect()], window)
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_item_bytes: int = 64 << 20) -> DataFrame:
+def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 200_000) -> DataFrame:
     """One row per document: ``doc_id, n_words, spans, items, longest``.
 
     ``spans`` are merged word ranges (start, end) inside windows of ``window``
     consecutive item words; an item of fewer words, but not none, is one window.
     ``items`` are the distinct ids of items with an occurring window (a null id
-    hits but is not listed). ``longest`` is the longest matching run streamed.
+    hits but is not listed). ``longest`` is the longest run of words that some item contains.
+    Item ids may have any type with an order.
     Null or wordless texts have no words and no hits; null or wordless items are
     ignored; repeated rows keep a row each; extra columns are ignored.
     """
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema[item_id].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), bench.schema[item_id].dataType
+    item_kind, item_arrow = item_type.simpleString(), to_arrow_type(item_type)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<{item_kind}>, longest int"
     out, state = None, docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -197,7 +183,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                     spans.append([{"start": a, "end": b} for a, b in found])
                     items.append(sorted(y for y in ids if y is not None))
                     longest.append(most)
-                found = [pa.array(spans, span), pa.array(items, pa.list_(_arrow(item_kind))), pa.array(longest, pa.int32())]
+                found = [pa.array(spans, span), pa.array(items, pa.list_(item_arrow)), pa.array(longest, pa.int32())]
                 if keep_text:
                     yield pa.record_batch([batch.column(0), batch.column(1), *found], names=["doc_id", "text", "spans", "items", "longest"])
                 else:
@@ -205,13 +191,15 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         return run
 
-    made = list_lookahead(automata(bench, id_col=item_id, text_col=item_text, window=window, max_item_bytes=max_item_bytes))
+    made = list_lookahead(automata(bench, id_col=item_id, text_col=item_text, window=window, max_words=max_words))
     for k, (automaton, last) in enumerate(made):
         keep_text = not last
         shared = spark.sparkContext.broadcast(automaton)
         out = state.mapInArrow(scanner(shared, k > 0), schema if last else schema.replace("n_words long", "text string"))
         if not last:
-            state = materialize(out)
+            before, state = state, materialize(out)
+            forget(before)
+            shared.unpersist()
     return out
 
 
@@ -224,61 +212,118 @@ def list_lookahead(xs: Iterator) -> Iterator[tuple]:
     yield held, True
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
+def _places(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The words of a text and where they stand."""
+    low = text.lower()
+    places = [m.span() for m in _WORDS.finditer(low)]
+    return [low[a:b] for a, b in places], places
 
 
-def clean_text(text: bytes, automaton: ItemAutomaton, max_span: int, max_coverage: float) -> bytes | None:
-    """The text without runs of hit words longer than ``max_span``; None if their share exceeds ``max_coverage``.
+def _cut(text: bytes, places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> bytes:
+    at, parts = 0, []
+    for a, b in spans:
+        parts.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return b" ".join([*parts, text[at:]])
 
-    What is left is streamed again, since the ends around a gap may form a new run.
-    """
+
+def _verdict(text: bytes, places: list, spans: list[tuple[int, int]], max_span: int, max_coverage: float, first: bool) -> bytes | None:
+    """The text without runs of hit words longer than ``max_span``; None if, the first time, their share exceeds ``max_coverage``."""
+    spans = [(a, b) for a, b in spans if b - a > max_span]
+    if first and sum(b - a for a, b in spans) > max_coverage * len(places):
+        return None
+    return _cut(text, places, spans) if spans else text
+
+
+def clean_text(text: bytes, automaton: ItemAutomaton, max_span: int, max_coverage: float) -> bytes | None:
+    """:func:`_verdict` until nothing is cut: what is left is streamed again, since the ends around a gap may form a new run."""
     first = True
     while True:
-        low = text.lower()
-        places = [m.span() for m in _WORDS.finditer(low)]
-        spans, _, _ = automaton.scan([low[a:b] for a, b in places])
-        spans = [(a, b) for a, b in spans if b - a > max_span]
-        if not spans:
-            return text
-        if first and sum(b - a for a, b in spans) > max_coverage * len(places):
-            return None
-        first, at, parts = False, 0, []
-        for a, b in spans:
-            parts.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-        text = b" ".join([*parts, text[at:]])
-
-
-def remove_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_span: int = 0, max_coverage: float = 0.5, length_col: str = "n_chars", max_item_bytes: int = 64 << 20) -> DataFrame:
+        words, places = _places(text)
+        after = _verdict(text, places, automaton.scan(words)[0], max_span, max_coverage, first)
+        if after is None or after is text:
+            return after
+        text, first = after, False
+
+
+def remove_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_span: int = 0, max_coverage: float = 0.5, length_col: str = "n_chars", max_words: int = 200_000) -> DataFrame:
     """``docs`` with benchmark runs of more than ``max_span`` hit words cut out, all columns kept.
 
     A document of whose words such runs cover more than ``max_coverage`` goes
-    whole. ``length_col``, where there is one, gets the new length in characters
-    for texts that changed; other texts and rows stay as they are, null texts too.
+    whole; cutting goes on until no such run is left. The spans of all automata are
+    gathered before anything is decided, so the result does not depend on their number.
+    ``length_col``, where there is one, gets the new length in characters
+    for texts that changed; other texts and rows stay as they are, null texts too. Repeated
+    rows are treated alike; an empty table gives an empty result.
     """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    for automaton in automata(bench, item_id, item_text, window, max_item_bytes):
-        shared = spark.sparkContext.broadcast(automaton)
+    old, found, changed = fresh(docs, "length", "found", "changed")
+    own = docs.withColumn(old, F.length(text_col))
+    span = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+    made = list_lookahead(automata(bench, item_id, item_text, window, max_words))
+    automaton, only = next(made)
+
+    def replaced(batch: pa.RecordBatch, texts: list, width: int) -> list:
+        return [pa.array(texts, pa.binary()).cast(batch.column(j).type) if j == at else batch.column(j) for j in range(width)]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def cleaner(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, keep = batch.column(at).cast(pa.binary()).to_pylist(), []
                 for row, x in enumerate(texts):
                     if x:
                         texts[row] = clean_text(x, shared.value, max_span, max_coverage)
                     keep.append(x is None or texts[row] is not None)
-                columns = [pa.array(texts, pa.binary()).cast(batch.column(j).type) if j == at else batch.column(j) for j in range(batch.num_columns)]
-                yield pa.record_batch(columns, names=batch.schema.names).filter(pa.array(keep))
-
-        old, *_ = fresh(docs, "length")
-        sized = length_col in docs.columns
-        docs = docs.withColumn(old, F.length(text_col)).mapInArrow(run, docs.withColumn(old, F.length(text_col)).schema)
-        if sized:
-            kind = docs.schema[length_col].dataType
-            docs = docs.withColumn(length_col, F.when(F.length(text_col) != F.col(old), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-        docs = docs.drop(old)
-    return docs
+                yield pa.record_batch(replaced(batch, texts, batch.num_columns), names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def finder(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = []
+                for x, known in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    new = shared.value.scan(words_of(x))[0]
+                    spans.append([{"start": a, "end": b} for a, b in merged([*new, *((y["start"], y["end"]) for y in known)])])
+                yield pa.record_batch([*batch.columns[:-1], pa.array(spans, to_arrow_type(span))], names=batch.schema.names)
+
+        return run
+
+    def cutter(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, keep, cut = batch.column(at).cast(pa.binary()).to_pylist(), [], []
+                for row, (x, known) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                    after = _verdict(x, _places(x)[1], [(y["start"], y["end"]) for y in known], max_span, max_coverage, first) if x else x
+                    keep.append(x is None or after is not None)
+                    cut.append(after is not x)
+                    texts[row] = after
+                yield pa.record_batch([*replaced(batch, texts, batch.num_columns - 1), pa.array(cut, pa.bool_())], names=[*batch.schema.names[:-1], changed]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    if only:
+        out = own.mapInArrow(cleaner(spark.sparkContext.broadcast(automaton)), own.schema)
+    else:
+        out, todo, first = None, own, True
+        while True:
+            state = todo.withColumn(found, F.array().cast(span))
+            for automaton in automata(bench, item_id, item_text, window, max_words):
+                shared = spark.sparkContext.broadcast(automaton)
+                before, state = state, materialize(state.mapInArrow(finder(shared), state.schema))
+                forget(before)
+                shared.unpersist()
+            done = materialize(state.mapInArrow(cutter(first), StructType([*own.schema.fields, StructField(changed, BooleanType())])))
+            forget(state)
+            settled = done.where(~F.col(changed)).drop(changed)
+            out = settled if out is None else out.union(settled)
+            todo, first = done.where(changed).drop(changed), False
+            if todo.isEmpty():
+                break
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(F.length(text_col) != F.col(old), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return out.drop(old)
 
 
 def items_digest(ids: list) -> str:

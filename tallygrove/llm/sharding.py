@@ -5,6 +5,10 @@ each round counts, exactly and across all partitions, the bytes below every
 candidate boundary, and moves the candidates until each splitter lies within
 tolerance of its target; only then are rows exchanged, once.
 
+Rows equal in text and id are numbered: within a partition of the written keys one
+behind the other, the partitions' counts added up; a third hash of that number orders
+them, so that a group of any size can be cut and no task holds it whole.
+
 Candidates are the interpolated key, a random row of the bracket, and the two
 edges of that row's group of equal texts: so equal texts stay together unless
 one boundary has to cut a group that is larger than the tolerance, and a group

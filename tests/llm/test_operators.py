@@ -112,8 +112,8 @@ def test_overlaps_against_brute_force(spark, docs_of):
             words[at:at] = [w.upper() if rng.random() < 0.3 else w + rng.choice(["", ",", "-"]) for w in item]
         rows.append((i, " ".join(words)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (64 << 20, 300):  # one automaton, several
-        got = decontam.find_overlaps(docs_of(rows), bench, max_item_bytes=limit).toPandas().set_index("doc_id")
+    for limit in (200_000, 60):  # one automaton, several
+        got = decontam.find_overlaps(docs_of(rows), bench, max_words=limit).toPandas().set_index("doc_id")
         for i, text in rows:
             n, hit, ids = brute_overlap(text, items)
             r = got.loc[i]
@@ -133,6 +133,32 @@ def test_removal_leaves_no_window_and_clean_texts_alone(spark, docs_of):
     assert brute_overlap(got.loc[1].text, [(1, item)])[1] == 0 and got.loc[1].text.startswith("Before") and got.loc[1].n_chars == len(got.loc[1].text)
 
 
+def test_removal_does_not_depend_on_the_number_of_automata(spark, docs_of):
+    rng = random.Random(5)
+    small = WORDS[:6]
+    items = [(i, " ".join(rng.choice(small) for _ in range(12))) for i in range(8)]
+    rows = [(i, " ".join([*(rng.choice(WORDS) for _ in range(rng.randrange(0, 60))), *" ".join(rng.choice(items)[1] for _ in range(i % 4)).split(), *(rng.choice(small) for _ in range(20))])) for i in range(60)] + [(99, None), (98, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda **x: sorted((r.doc_id, r.text or "", r.n_chars) for r in decontam.remove_overlaps(docs_of(rows), bench, **x).collect())
+    one = told()
+    assert one == told(max_words=3) and 20 < len(one) < 62
+    assert all(brute_overlap(t, items)[1] == 0 and n == len(t) for _, t, n in one)
+
+
+def test_item_ids_of_other_types(spark, docs_of):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda"
+    for kind, told in (("decimal(5,1)", "7.0"), ("tinyint", "7"), ("string", "7"), ("double", "7.0")):
+        bench = spark.sql(f"select cast('7' as {kind}) item_id, '{item}' text")
+        got = decontam.op3_decontaminate(docs_of([(1, f"x {item} y")]), bench).first()
+        assert (got.n_hit, got.n_items, got.items_sha256) == (11, 1, hashlib.sha256(told.encode()).hexdigest()), kind
+
+
+def test_longest_run_of_any_item(spark, docs_of):
+    bench = spark.createDataFrame([(1, " ".join("abcdefghijkl")), (2, "k l m n o p")], "item_id long, text string")
+    got = {r.doc_id: r.longest for r in decontam.find_overlaps(docs_of([(1, "z a b z c d e z"), (2, "a b c d e f g h i j k l m n"), (3, "z y"), (4, "b c k l m")]), bench).collect()}
+    assert got == {1: 3, 2: 12, 3: 0, 4: 3}
+
+
 # --- 4 ------------------------------------------------------------------------
 
 
