@@ -5,9 +5,9 @@ each round counts, exactly and across all partitions, the bytes below every
 candidate boundary, and moves the candidates until each splitter lies within
 tolerance of its target; only then are rows exchanged, once.
 
-Rows equal in text and id are numbered: within a partition of the written keys one
-behind the other, the partitions' counts added up; a third hash of that number orders
-them, so that a group of any size can be cut and no task holds it whole.
+Rows equal in text and id differ in the last 20 bits of their keys, which come from a
+number that each row gets when the keys are written: a group of any size can be cut,
+and no task holds it whole. Such rows are alike, so it does not matter which goes where.
 
 Candidates are the interpolated key, a random row of the bracket, and the two
 edges of that row's group of equal texts: so equal texts stay together unless
@@ -30,6 +30,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .common import fresh, materialize
 
 _TOP = 1 << 128
+_TIES = (1 << 20) - 1
 
 
 def _keys(hi: pa.Array, lo: pa.Array) -> np.ndarray:
@@ -65,7 +66,8 @@ def histogram(keyed: DataFrame, probes: list[int], seed: int) -> list[tuple[int,
             gap, size = _below(cuts, keys), batch.column(2).to_numpy(zero_copy_only=False)
             bytes_ += np.bincount(gap, size, len(cuts) + 1).astype(np.int64)
             rows += np.bincount(gap, minlength=len(cuts) + 1)
-            order = (batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+            # Without the bits that tell equal rows apart, so that a rerun picks the same rows.
+            order = ((batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(20)) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
             by = np.lexsort((order, gap))
             first = by[np.flatnonzero(np.r_[True, gap[by][1:] != gap[by][:-1]])]
             better = first[order[first] <= rank[gap[first]]]
@@ -127,16 +129,25 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     """Each row of ``docs`` with its shard and its place in it.
 
     Size of a row: UTF-8 bytes of its text (null: none) plus 1. Shards differ by
-    ``tolerance`` of their mean, or by one row where rows are larger. Rows equal
-    in text and id cannot be told apart and stay together. Columns:
+    ``tolerance`` of their mean, or by one row where rows are larger. Null texts count as
+    empty; null ids are equal to each other; rows equal in text and id are spread like others
+    where a boundary has to cut them. Columns:
     ``doc_id, size, text_crc32, shard, slot``, or with ``keep_rows`` all columns
     of ``docs`` and ``shard, slot`` (under other names where taken). Slots count
     from 0 in key order without gaps. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size, hi, lo, crc, shard_c, slot_c, piece = fresh(docs, "size", "hi", "lo", "crc", "shard", "slot", "piece")
-    keyed_cols = [(F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("hi"), F.xxhash64(F.col(id_col)).alias("lo")]
-    keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), *keyed_cols, F.crc32(text.cast("binary")).alias("text_crc32")))
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(_TIES))
+    key_of_id = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(~_TIES)).bitwiseOR(tie)
+    keys = [(F.octet_length(text) + 1).cast("long").alias(size), F.xxhash64(text).alias(hi), key_of_id.alias(lo)]
+    own = docs.columns if keep_rows else ["doc_id", "size", "text_crc32"]
+    if keep_rows:
+        source = materialize(docs.select("*", *keys))
+    else:
+        size, hi, lo = "size", "hi", "lo"
+        source = materialize(docs.select(F.col(id_col).alias("doc_id"), *(k.alias(x) for k, x in zip(keys, (size, hi, lo), strict=True)), F.crc32(text.cast("binary")).alias("text_crc32")))
+    keyed = source.select(F.col(size).alias("size"), F.col(hi).alias("hi"), F.col(lo).alias("lo"))
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     fine = max(4, min(max_pieces, math.ceil(total / piece_bytes)) // shards + 1)
     n = shards * fine
@@ -152,11 +163,6 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     counts = [c[1] for c in histogram(keyed, [min(c, _TOP - 1) for c in cuts], 1)] if rows else [0]
     first = [sum(counts[k] for k in range(p - p % fine, p)) for p in range(len(counts))]
 
-    if keep_rows:
-        source = docs.select("*", *(c.alias(name) for c, name in zip(keyed_cols[1:], (hi, lo), strict=True)))
-        own = docs.columns
-    else:
-        source, own, hi, lo = keyed.select("doc_id", "size", "text_crc32", "hi", "lo"), ["doc_id", "size", "text_crc32"], "hi", "lo"
     places = [source.columns.index(hi), source.columns.index(lo)]
     starts = np.array(first, dtype=np.int64)
 
@@ -168,7 +174,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
     schema = StructType([*source.schema.fields, StructField(piece, LongType()), StructField(shard_c, IntegerType()), StructField(slot_c, LongType())])
     placed = source.mapInArrow(place, schema)
-    order = Window.partitionBy(piece).orderBy(F.col(hi), F.col(lo), F.col(own[0] if not keep_rows else id_col))
+    order = Window.partitionBy(piece).orderBy(F.col(hi) < 0, hi, F.col(lo) < 0, lo)
     placed = placed.withColumn(slot_c, F.col(slot_c) + F.row_number().over(order) - 1)
     names = {shard_c: "shard", slot_c: "slot"}
     taken = {c.lower() for c in own}
@@ -177,6 +183,6 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
 
 def op2_sharding(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Contract digest: law ``bytes``."""
+    """Contract digest of :func:`assign_shards`, which says what nulls, empty texts, ties and repeated rows do: law ``bytes``."""
     placed = assign_shards(docs, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

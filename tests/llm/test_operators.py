@@ -9,6 +9,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallygrove.llm import decontam, mixing, pii, quality_classifier, quality_rules, secrets_crf, sharding, simhash, warc
 
@@ -74,13 +75,35 @@ def test_shards_are_equal_and_gapless(spark, docs_of, hot):
     assert (split[split > 1].index == "one text of a large group").all()
 
 
-def test_splitters_against_sorting(spark, docs_of):
+def test_shards_do_not_depend_on_partitions(spark, docs_of):
     rng = random.Random(2)
     docs = docs_of([(i, prose(rng, 30)) for i in range(500)])
     first, again = (sharding.op2_sharding(d).toPandas().sort_values("doc_id") for d in (docs, docs.repartition(7)))
     assert first.reset_index(drop=True).equals(again.reset_index(drop=True))
 
 
+def test_shards_against_sorting(spark, docs_of):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randrange(1, 30)) if i % 7 else "a text that many have") for i in range(700)] + [(None, None), (9999, "")]
+    got = sharding.op2_sharding(docs_of(rows)).toPandas().sort_values(["shard", "slot"])
+    texts = {i: t or "" for i, t in rows}
+    order = [xxhash.xxh64_intdigest(texts[None if np.isnan(i) else int(i)].encode(), 42) for i in got.doc_id]
+    assert len(order) == len(rows) and order == sorted(order)
+    total, ends = sum(len(t or "") + 1 for _, t in rows), got.groupby("shard")["size"].sum().cumsum()
+    most = got["size"].max()
+    assert all(abs(end - total * (k + 1) / 16) <= most + 0.001 * total for k, end in ends.items())
+
+
+@pytest.mark.parametrize("same", [(5, "words of a text that half of all rows repeat"), (None, None), (5, "")])
+def test_equal_rows_are_spread(spark, docs_of, same):
+    rows = [same] * 400 + [(i, f"number {i} of the other texts, some bytes") for i in range(400)]
+    for got in (sharding.op2_sharding(docs_of(rows)), sharding.assign_shards(docs_of(rows), keep_rows=True).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 1)):
+        got = got.toPandas()
+        sizes = got.groupby("shard")["size"].sum()
+        assert len(got) == 800 and len(sizes) == 16 and sizes.max() - sizes.min() <= 2 * got["size"].max() + 0.002 * sizes.sum()
+        assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+
+
 # --- 3 ------------------------------------------------------------------------
 
 
