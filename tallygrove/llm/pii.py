@@ -107,16 +107,22 @@ def _iban(x: Column, key: str) -> Column:
     return F.when(_mod97(moved(plain)) == 1, F.transform(F.array(new), spaced)[0])
 
 
-# The calendar permuted is 1900-01-01 to 2099-12-31, 73049 = 17 * 4297 days.
-_DAY_PARTS = (17, 4297)
+# The first day, and two factors of the number of days, of 0001 to 1899, 1900 to 2099, and 2100 to 9999.
+_CALENDARS = (("0001-01-01", 665, 1043), ("1900-01-01", 17, 4297), ("2100-01-01", 195, 14797))
 
 
 def _date(x: Column, key: str) -> Column:
+    """A day moves within its calendar: 0001 to 1899, 1900 to 2099, or 2100 to 9999; the year 0000 stays."""
+
     def moved(day: Column) -> Column:
-        n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-        s = _feistel(F.floor(n / _DAY_PARTS[1]), F.pmod(n, F.lit(_DAY_PARTS[1])), F.lit(_DAY_PARTS[0]), F.lit(_DAY_PARTS[1]), key, F.lit("date"))
-        new = F.transform(F.array(s), lambda s: s["l"] * _DAY_PARTS[1] + s["r"])[0]
-        return F.when((n >= 0) & (n < _DAY_PARTS[0] * _DAY_PARTS[1]), F.date_add(F.lit("1900-01-01").cast("date"), new.cast("int")))
+        out = F.lit(None).cast("date")
+        for first, a, b in _CALENDARS:
+            start = F.lit(first).cast("date")
+            n = F.datediff(day, start).cast("long")
+            s = _feistel(F.floor(n / b), F.pmod(n, F.lit(b)), F.lit(a), F.lit(b), key, F.lit("date" if a == 17 else f"date{a}"))
+            new = F.aggregate(F.array(s), F.lit(0).cast("long"), lambda _, s: s["l"] * F.lit(b) + s["r"])  # noqa: B023
+            out = F.when((n >= 0) & (n < a * b), F.date_add(start, new.cast("int"))).otherwise(out)
+        return out
 
     mark = F.substring(x, F.lit(3), F.lit(1))
     plain = F.translate(x, "./", "--")
@@ -137,14 +143,28 @@ def _ipv4(x: Column, key: str) -> Column:
     return F.when(sound, new)
 
 
+# International dialling codes; those not listed have three digits.
+_DIAL = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+
 def _phone(x: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.when(x.startswith("+"), F.length(F.regexp_extract(x, r"^\+([0-9]{1,3}?)(?:[ .(-]|(?=[0-9]{7,}$))", 1))).otherwise(F.lit(0))
+    """The dialling code after a plus stays; the digits alone decide, so equal numbers stay equal in any spacing."""
     d = _digits(x)
+    code = F.when(x.startswith("+"), F.length(F.regexp_extract(d, f"^(?:{_DIAL})", 0))).otherwise(F.lit(0))
     new = F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d)), key, "phone"))
     return F.when(F.length(d).between(7, 15), _refill(x, new))
 
 
+def _social(x: Column, key: str) -> Column:
+    """Area (not 000, 666 or 9xx), group (not 00) and serial (not 0000) are numbered without gaps, so pseudonyms are valid too."""
+    d = _digits(x)
+    area, rest = F.substring(d, 1, 3).cast("long"), (F.substring(d, 4, 2).cast("long") - 1) * 9999 + F.substring(d, 6, 4).cast("long") - 1
+    s = _feistel(area - F.when(area > 666, 2).otherwise(1), rest, F.lit(898), F.lit(99 * 9999), key, F.lit("social"))
+    part = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    told = lambda s: F.concat_ws("-", part(s["l"] + F.when(s["l"] >= 665, 2).otherwise(1), 3), part(F.floor(s["r"] / 9999) + 1, 2), part(F.pmod(s["r"], F.lit(9999)) + 1, 4))
+    return F.when(~x.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$"), F.transform(F.array(s), told)[0])
+
+
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -183,8 +203,7 @@ def _kind(x: Column) -> Column:
 
 def _pseudonym(kind: Column, x: Column, key: str) -> Column:
     """The new value, or null for a value that does not validate."""
-    social = F.when(~x.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$"), _refill(x, permute_digits(_digits(x), key, "social")))
-    return F.when(kind == "mail", _mail(x, key)).when(kind == "iban", _iban(x, key)).when(kind == "date", _date(x, key)).when(kind == "social", social).when(kind == "phone", _phone(x, key)).when(kind == "ipv4", _ipv4(x, key)).otherwise(_card(x, key))
+    return F.when(kind == "mail", _mail(x, key)).when(kind == "iban", _iban(x, key)).when(kind == "date", _date(x, key)).when(kind == "social", _social(x, key)).when(kind == "phone", _phone(x, key)).when(kind == "ipv4", _ipv4(x, key)).otherwise(_card(x, key))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -212,6 +231,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
 
 def op4_pseudonyms(docs: DataFrame, key: str = "tallygrove") -> DataFrame:
+    """``doc_id``, the text with pseudonyms, and the number of them of each kind, one row per row of ``docs``.
+
+    Null texts stay null and have null counts; empty texts stay empty and count none;
+    repeated rows get equal results; extra columns are ignored; an empty table gives an empty
+    result. ``key`` is a parameter: a user passes a secret, the query a fixed word.
+    """
     done = pseudonymize(docs.select("doc_id", "text"), key)
     count = lambda kind: F.size(F.filter("pii", lambda m: m["kind"] == kind)).alias(f"n_{kind}")
     return done.select("doc_id", "text", *(count(k) for k in KINDS))
