@@ -5,11 +5,12 @@ the kinds of the neighbouring tokens, and features of the whole file; Viterbi
 finds the best tags. The model is small and trained here, on generated lines, by
 gradient ascent on the exact likelihood (forward-backward).
 
-A secret has eight bytes or more and is not purely alphabetic: tokens that are
-not so can only be O, in training and in decoding. Of the rest, a token whose
-own scores fall so far short of O that no neighbours and no transition could
-make up for it is O in every best path. So only the runs between such tokens are
-decoded, with the same result as decoding every token.
+Every token can be a secret. But a token whose scores fall so far short of O that
+no transition could make up for it is O in every best path, so it need not be decoded.
+For the short and the purely alphabetic tokens, which have few kinds of scores, this is
+settled once for all of them where no neighbour is a cue, an operator or the like: if the bound
+holds, as it does for the model trained here, only the other tokens and the neighbours
+of cues are looked at, with the same result as decoding every token; if not, all are.
 
 Spans of three fixed shapes are always reported; the field adds to them.
 """
@@ -141,6 +142,14 @@ class Field:
     def safe(self, own: np.ndarray) -> bool:
         return bool(own[1:].max() - own[0] + self.most < 0)
 
+    def plain_is_safe(self) -> bool:
+        """Whether short and alphabetic tokens that are no cue, and have neighbours of the kind OTHER only, can only be O."""
+        around = self.before[OTHER] + self.before2[OTHER] + self.after[OTHER]
+        more = sum(max(0.0, float((w[1:] - w[0]).max())) for w in self.whole) + 2 * (self.trans.max() - self.trans.min())
+        shapes = [(0, 1), (0, 1, 6), *((0, n, 6) for n in (2, 3, 4, 5))]
+        gaps = (self.score(x) + around for x in shapes)
+        return all(float((x[1:] - x[0]).max()) + more < 0 for x in gaps)
+
 
 def viterbi(scores: np.ndarray, trans: np.ndarray) -> list[int]:
     """Best tags of a run, with an O before and after it."""
@@ -183,7 +192,7 @@ def _generated(seed: int, lines: int) -> list[tuple[list[bytes], list[int]]]:
         def add(text: str, tag: int = O, tokens=tokens, tags=tags) -> None:
             for k, t in enumerate(text.split()):
                 tokens.append(t.encode())
-                tags.append((tag if k == 0 or tag == O else I) if _ODD.fullmatch(tokens[-1]) else O)
+                tags.append(tag if k == 0 or tag == O else I)
 
         for _ in range(int(rng.integers(2, 12))):
             add(word() if rng.random() < 0.9 else other())
@@ -222,7 +231,7 @@ def _design(tokens: list[bytes]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def train_field(lines: int = 800, steps: int = 150, seed: int = 3, decay: float = 2e-3) -> Field:
+def train_field(lines: int = 1200, steps: int = 220, seed: int = 3, decay: float = 2e-3) -> Field:
     """Maximum likelihood with a small ridge, by Adam over all lines at once. Deterministic."""
     data = _generated(seed, lines)
     width = max(len(t) for t, _ in data)
@@ -281,6 +290,7 @@ class _Classes(dict):
     def __init__(self, field: Field):
         super().__init__()
         self.field = field
+        self.plain_is_safe = field.plain_is_safe()
 
     def __missing__(self, on: tuple[int, ...]) -> tuple[np.ndarray, bool]:
         own = self.field.score(on)
@@ -302,15 +312,51 @@ def _token_before(raw: bytes, at: int) -> tuple[bytes, int] | None:
     return (raw[start:end], start) if end else None
 
 
+#: Tokens that are not of the kind OTHER hold one of these.
+_MARKS = (b"passw", b"passphrase", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"basic", b"-----", b"private", b"rsa", b"=", b":")
+_MARK = re.compile(b"|".join(re.escape(x) for x in _MARKS))
+
+
+def _looked_at(raw: bytes, low: bytes, classes: _Classes) -> list[tuple[int, int]]:
+    """The tokens, in order, that may be other than O: odd ones, cues with one token before and two behind, and those that lack a neighbour."""
+    if not classes.plain_is_safe:
+        return [m.span() for m in _TOKENS.finditer(raw)]
+    places = {m.start(): m.end() for m in _ODD.finditer(raw)}
+    done = 0
+    for m in _MARK.finditer(low):
+        if m.start() < done:
+            continue
+        start = m.start()
+        while start and raw[start - 1] not in _BLANK:
+            start -= 1
+        end = _TOKENS.match(raw, start).end()
+        done = end
+        if kind_of(raw[start:end]) == OTHER:
+            continue
+        places[start] = end
+        if one := _token_before(raw, start):
+            places[one[1]] = one[1] + len(one[0])
+        for _ in range(2):
+            if after := _TOKENS.search(raw, end):
+                places[after.start()], end = after.end(), after.end()
+    end = 0
+    for _ in range(2):
+        if edge := _TOKENS.search(raw, end):
+            places[edge.start()], end = edge.end(), edge.end()
+    if last := _token_before(raw, len(raw)):
+        places[last[1]] = last[1] + len(last[0])
+    return sorted(places.items())
+
+
 def field_spans(raw: bytes, low: bytes, field: Field, classes: _Classes) -> list[tuple[int, int]]:
     """Byte ranges that the field tags as secrets, without quotes and closing marks."""
     runs: list[list[tuple[int, int, np.ndarray]]] = []
-    for m in _ODD.finditer(raw):
-        own, safe = classes[shape(m[0])]
+    for start, end in _looked_at(raw, low, classes):
+        own, safe = classes[shape(raw[start:end])]
         if safe:
             continue
-        joined = runs and not raw[runs[-1][-1][1] : m.start()].strip(_BLANK)
-        (runs[-1] if joined else runs.append([]) or runs[-1]).append((m.start(), m.end(), own))
+        joined = runs and not raw[runs[-1][-1][1] : start].strip(_BLANK)
+        (runs[-1] if joined else runs.append([]) or runs[-1]).append((start, end, own))
     if not runs:
         return []
     whole = sum((field.whole[k] for k, on in enumerate(file_features(low)) if on), np.zeros(TAGS))
@@ -343,8 +389,16 @@ def field_spans(raw: bytes, low: bytes, field: Field, classes: _Classes) -> list
     return trimmed
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether sorted ``spans`` together cover a range."""
+    for s, _, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def find_secrets(raw: bytes | None, field: Field, classes: _Classes) -> list[tuple[int, int, int]]:
-    """Sorted (start, kind number, end) in characters: base spans, and spans of the field that touch none of them."""
+    """Sorted (start, kind number, end) in characters: base spans, and spans of the field that those do not cover wholly."""
     if not raw:
         return []
     text, low = raw.decode(), raw.lower()
@@ -353,7 +407,7 @@ def find_secrets(raw: bytes | None, field: Field, classes: _Classes) -> list[tup
     for a, b in field_spans(raw, low, field, classes):
         start = len(raw[:a].decode())
         end = start + len(raw[a:b].decode())
-        if not any(s < end and start < e for s, _, e in base):
+        if not _covered(start, end, base):
             added.append((start, 3, end))
     return sorted([*base, *added])
 
@@ -382,6 +436,7 @@ def digest(spans: list[str]) -> str:
 
 
 def op6_secrets(docs: DataFrame) -> DataFrame:
+    """Contract digest of :func:`scan_secrets`, which says what nulls, empty texts and repeated rows give."""
     found = scan_secrets(docs)
     told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")

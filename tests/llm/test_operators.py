@@ -336,6 +336,25 @@ def test_field_on_lines_not_seen():
     assert good / made > 0.95 and good / wanted > 0.95
 
 
+def test_skipped_tokens_change_nothing():
+    """With and without the bound that lets plain tokens be skipped: the same spans."""
+    field = secrets_crf.train_field()
+    assert field.plain_is_safe()
+    short, whole = secrets_crf._Classes(field), secrets_crf._Classes(field)
+    whole.plain_is_safe = False
+    lines = [b" ".join(t) for t, _ in secrets_crf._generated(5, 400)]
+    texts = [b"\n".join(lines[k : k + 4]) for k in range(0, 400, 4)] + lines + [b"a", b"Bearer", b" token = ", b"one two", b"", b"\n"]
+    assert all(secrets_crf.field_spans(x, x.lower(), field, short) == secrets_crf.field_spans(x, x.lower(), field, whole) for x in texts)
+
+
+def test_the_rest_of_a_secret_beside_a_base_span(spark, docs_of):
+    text = 'db_password = "abcDEF123456!xyz#9K" and words of prose'
+    got = secrets_crf.op6_secrets(docs_of([(1, text)])).first().spans.split(",")
+    assert "assign:3:27" in got
+    field = [list(map(int, x.split(":")[1:])) for x in got if x.startswith("field")]
+    assert any(a <= 27 and b > 27 for a, b in field)
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
