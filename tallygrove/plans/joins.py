@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
-from ..operators import match
+from ..operators import match, rank
 from ..sources.tables import table
 from .registry import h, query, r6
 
@@ -139,10 +139,13 @@ def moving_mean(spark, sf):
     return got.where("n = 8").select("event_id", r6(F.col("m")).alias("m"))
 
 
-@query("""WITH c AS (SELECT l_returnflag, l_linestatus, round(avg(l_discount), 4) AS score FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, score, CASE WHEN l_linestatus <> 'x' THEN dense_rank() OVER (ORDER BY score DESC) END AS place FROM c""")
+@query("""WITH c AS (SELECT l_returnflag, l_linestatus, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1, 2),
+m AS (SELECT l_returnflag, l_linestatus, 'discount' AS metric, round(discount, 4) AS score, round(discount, 4) AS better FROM c UNION ALL SELECT l_returnflag, l_linestatus, 'tax', round(tax, 4), -round(tax, 4) FROM c),
+r AS (SELECT metric, l_returnflag, l_linestatus, dense_rank() OVER (PARTITION BY metric ORDER BY better DESC) AS place FROM m WHERE l_linestatus = 'F')
+SELECT m.metric, m.l_returnflag, m.l_linestatus, score, coalesce(place, 0) AS place, CASE place WHEN 1 THEN 'best' WHEN 2 THEN 'second' END AS mark FROM m LEFT JOIN r ON m.metric = r.metric AND m.l_returnflag = r.l_returnflag AND m.l_linestatus = r.l_linestatus""")
 def rank_cells(spark, sf):
-    cells = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_discount"), 4).alias("score"))
-    return cells.withColumn("place", F.dense_rank().over(Window.orderBy(F.col("score").desc())).cast("long"))
+    cells = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+    return rank.two_best(cells, ["l_returnflag", "l_linestatus"], {"discount": True, "tax": False}, F.col("l_linestatus") == "F")
 
 
 @query("""WITH a AS (SELECT *, count(*) FILTER (role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations)

@@ -41,9 +41,10 @@ def cosine_topk(spark, sf):
     return got.select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_FUSED = f"""{_BM25}, {_COSINE}, met AS (SELECT s.query, s.doc, coalesce(b.score, 0) AS keyword, s.score AS semantic FROM sims s JOIN documents d ON d.doc_id = s.doc LEFT JOIN scores b ON b.query = s.query AND b.doc = s.doc WHERE s.query IN (SELECT query FROM terms)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(keyword, 9) DESC, doc) AS rk, row_number() OVER (PARTITION BY query ORDER BY round(semantic, 9) DESC, doc) AS rs FROM met),
-fused AS (SELECT *, CASE WHEN keyword > 0 THEN 1 / (60e0 + rk) ELSE 0 END + 1 / (60e0 + rs) AS fused FROM ranked)"""
+_FUSED = f"""{_BM25}, {_COSINE}, near AS (SELECT s.query, s.doc, s.score FROM sims s JOIN documents d ON d.doc_id = s.doc WHERE s.query IN (SELECT query FROM terms)),
+met AS (SELECT coalesce(n.query, b.query) AS query, coalesce(n.doc, b.doc) AS doc, coalesce(b.score, 0) AS keyword, n.score AS semantic FROM near n FULL JOIN scores b ON b.query = n.query AND b.doc = n.doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(keyword, 9) DESC, doc) AS rk, row_number() OVER (PARTITION BY query ORDER BY round(semantic, 9) DESC NULLS LAST, doc) AS rs FROM met),
+fused AS (SELECT *, CASE WHEN keyword > 0 THEN 1 / (60e0 + rk) ELSE 0 END + CASE WHEN semantic IS NOT NULL THEN 1 / (60e0 + rs) ELSE 0 END AS fused FROM ranked)"""
 
 
 def _fused(spark, sf):
@@ -51,7 +52,7 @@ def _fused(spark, sf):
     asked = table(spark, sf, "benchmark").where(F.pmod("item_id", F.lit(50)) == 0).select(F.col("item_id").alias("query"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
     met = sims.join(asked, "query").join(docs, "doc").withColumnRenamed("score", "semantic")
-    met = met.join(_bm25(spark, sf).withColumnRenamed("score", "keyword"), ["query", "doc"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
+    met = met.join(_bm25(spark, sf).withColumnRenamed("score", "keyword"), ["query", "doc"], "full").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     return retrieve.fused(met, "query", "doc", "keyword", "semantic")
 
 
@@ -69,7 +70,7 @@ def packed_length(spark, sf):
 
 
 @query(f"""WITH {_FUSED}, top AS (SELECT query, doc, 'hybrid' AS mode, row_number() OVER (PARTITION BY query ORDER BY round(fused, 9) DESC, doc) AS k FROM fused
-UNION ALL SELECT query, doc, 'semantic', row_number() OVER (PARTITION BY query ORDER BY round(semantic, 9) DESC, doc) FROM fused UNION ALL SELECT query, doc, 'keyword', row_number() OVER (PARTITION BY query ORDER BY round(keyword, 9) DESC, doc) FROM fused)
+UNION ALL SELECT query, doc, 'semantic', row_number() OVER (PARTITION BY query ORDER BY round(semantic, 9) DESC NULLS LAST, doc) FROM fused UNION ALL SELECT query, doc, 'keyword', row_number() OVER (PARTITION BY query ORDER BY round(keyword, 9) DESC, doc) FROM fused)
 SELECT mode, query, doc FROM top WHERE k <= 16 UNION ALL SELECT 'full_history', query, doc FROM fused""")
 def select_policy(spark, sf):
     from functools import reduce

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scalars import bin_index, hash_int
-from ..operators import aggregate, baseline, resample
+from ..operators import aggregate, baseline, resample, summary
 from ..sources.tables import table
 from .registry import CAT, PAIRS, PREDS, cat, h, macro_sql, pairs, preds, query, r6
 
@@ -198,15 +198,6 @@ def length_match_diag(spark, sf):
     return pairs(spark, sf).select(x.alias("x")).agg(r6(F.avg("x")).alias("mean"), r6(F.max("x")).alias("most"), r6(F.avg((F.col("x") <= 0.02).cast("double"))).alias("within"))
 
 
-@query(f"""WITH {PAIRS}, md AS (SELECT grp, median(later) AS md FROM pairs GROUP BY 1), d AS (SELECT person, grp, agreement - (1 - abs(later - md) / (hi - lo)) AS diff FROM pairs JOIN md USING (grp))
-SELECT round(macro, 6) AS difference, groups FROM ({macro_sql('d', 'diff')})""")
-def paired_diff(spark, sf):
-    rows = pairs(spark, sf)
-    medians = rows.groupBy("grp").agg(F.median("later").alias("md"))
-    other = 1 - F.try_divide(F.abs(F.col("later") - F.col("md")), F.col("hi") - F.col("lo"))
-    return aggregate.macro(rows.join(medians, "grp").withColumn("diff", F.col("agreement") - other), "person", "grp", "diff").select(r6(F.col("macro")).alias("difference"), "groups")
-
-
 _RUNS = f"""runs AS (SELECT event_id, run, CASE WHEN run = 2 AND event_id % 29 = 0 THEN NULL ELSE {h("'run|' || run || '|' || event_id")} % 2 END AS v FROM events, (SELECT unnest([1, 2, 3]) AS run))"""
 
 
@@ -257,6 +248,42 @@ picks AS (SELECT draw, {h("'boot|' || draw || '|' || p.i")} % n.n AS i FROM peop
 weights AS (SELECT draw, person, count(*) AS times FROM picks JOIN people USING (i) GROUP BY 1, 2)"""
 
 
+_DIFF = f"""WITH {PAIRS}, md AS (SELECT grp, median(later) AS md FROM pairs GROUP BY 1), d AS (SELECT person, grp, agreement - (1 - abs(later - md) / (hi - lo)) AS diff FROM pairs JOIN md USING (grp)),
+means AS (SELECT person, grp, avg(diff) AS mean FROM d WHERE diff IS NOT NULL GROUP BY 1, 2), {_DRAWS},
+b AS (SELECT draw, avg(m) AS m FROM (SELECT draw, grp, sum(times * mean) / sum(times) AS m FROM means JOIN weights USING (person) GROUP BY 1, 2) GROUP BY 1)
+SELECT round(avg(m), 6) AS difference, count(*) AS groups, (SELECT round(quantile_cont(m, 0.025), 6) FROM b) AS lo, (SELECT round(quantile_cont(m, 0.975), 6) FROM b) AS hi FROM (SELECT grp, avg(mean) AS m FROM means GROUP BY 1)"""
+
+
+@query(_DIFF)
+def paired_diff(spark, sf):
+    rows = pairs(spark, sf)
+    medians = rows.groupBy("grp").agg(F.median("later").alias("md"))
+    other = 1 - F.try_divide(F.abs(F.col("later") - F.col("md")), F.col("hi") - F.col("lo"))
+    right = rows.join(medians, "grp").select("event_id", other.alias("agreement"))
+    got = summary.paired_difference(rows.select("event_id", "person", "grp", "agreement"), right, "event_id", "person", "grp", "agreement", 100, "boot")
+    return got.select(r6(F.col("difference")).alias("difference"), "groups", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
+
+
+_METRICS = ("exact", "agreement", "nll", "brier", "invalid")
+
+
+@query(f"""WITH {PREDS}, s AS (SELECT person, grp, CASE WHEN doc_id % 9 <> 0 AND guess = truth THEN 1e0 ELSE 0e0 END AS exact, CASE WHEN doc_id % 9 <> 0 THEN 1e0 - abs(guess - truth) ELSE 0e0 END AS agreement,
+  CASE WHEN doc_id % 5 <> 0 AND grp <> 'fr' THEN nll END AS nll, CASE WHEN doc_id % 5 <> 0 THEN brier END AS brier, CASE WHEN doc_id % 9 = 0 THEN 1e0 ELSE 0e0 END AS invalid FROM scored),
+long AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, person, grp, {m} AS value FROM s WHERE {m} IS NOT NULL" for m in _METRICS) + f"""),
+means AS (SELECT metric, person, grp, avg(value) AS mean FROM long GROUP BY ALL), {_DRAWS},
+b AS (SELECT draw, metric, avg(m) AS m FROM (SELECT draw, metric, grp, sum(times * mean) / sum(times) AS m FROM means JOIN weights USING (person) GROUP BY ALL) GROUP BY ALL),
+ends AS (SELECT metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY 1),
+macro AS (SELECT metric, avg(m) AS macro, count(*) AS groups FROM (SELECT metric, grp, avg(mean) AS m FROM means GROUP BY 1, 2) GROUP BY 1),
+micro AS (SELECT metric, avg(value) AS micro, count(*) AS responses FROM long GROUP BY 1)
+SELECT metric, round(macro, 6) AS macro, round(lo, 6) AS lo, round(hi, 6) AS hi, round(micro, 6) AS micro, responses, groups, (SELECT count(DISTINCT person) FROM s) AS persons FROM macro JOIN micro USING (metric) JOIN ends USING (metric)""")
+def run_summary(spark, sf):
+    invalid, scored = F.pmod("doc_id", F.lit(9)) == 0, F.pmod("doc_id", F.lit(5)) != 0
+    rows = preds(spark, sf).select("person", "grp", F.when(~invalid & (F.col("guess") == F.col("truth")), 1.0).otherwise(0.0).alias("exact"), F.when(~invalid, 1.0 - F.abs(F.col("guess") - F.col("truth"))).otherwise(0.0).alias("agreement"),
+        F.when(scored & (F.col("grp") != "fr"), F.col("nll")).alias("nll"), F.when(scored, F.col("brier")).alias("brier"), F.when(invalid, 1.0).otherwise(0.0).alias("invalid"))
+    got = summary.summarize(rows, "person", "grp", list(_METRICS), 100, "boot")
+    return got.select("metric", *(r6(F.col(c)).alias(c) for c in ("macro", "lo", "hi", "micro")), "responses", "groups", "persons")
+
+
 @query(f"""WITH {PAIRS}, means AS (SELECT person, grp, avg(agreement) AS mean FROM pairs GROUP BY 1, 2), {_DRAWS},
 d AS (SELECT draw, avg(m) AS m FROM (SELECT draw, grp, sum(times * mean) / sum(times) AS m FROM means JOIN weights USING (person) GROUP BY 1, 2) GROUP BY 1)
 SELECT round(avg(m), 6) AS center, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM d""")

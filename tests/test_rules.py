@@ -203,3 +203,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = tables.table(spark, "/root/testdata/sf0.001", "lineitem").where("l_quantity > 40").select("l_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,40.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_paired_rows_need_the_same_keys(spark):
+    from tallygrove.operators import summary
+
+    left = spark.createDataFrame([(1, "a", "g", 0.5), (2, "b", "g", None)], "k long, person string, grp string, v double")
+    right = spark.createDataFrame([(1, 0.25), (2, None)], "k long, v double")
+    assert {r.k: r.delta for r in summary.paired(left, right, "k", "v").collect()} == {1: 0.25, 2: None}
+    for wrong in ([(1, 0.25)], [(1, 0.25), (2, None), (3, 1.0)], [(1, 0.25), (2, 0.5)], [(1, 0.25), (1, 0.25), (2, None)]):
+        with pytest.raises(Exception, match="both sides need|lacks a value"):
+            summary.paired(left, spark.createDataFrame(wrong, "k long, v double"), "k", "v").collect()
+
+
+def test_two_best_cells_share_places_by_shown_score(spark):
+    from pyspark.sql import functions as F
+
+    from tallygrove.operators import rank
+
+    cells = spark.createDataFrame([("a", 0.12341, 3.0), ("b", 0.12344, 1.0), ("c", 0.1, None), ("d", 0.9, 0.5)], "name string, up double, down double")
+    got = {(r.metric, r.name): (r.place, r.mark) for r in rank.two_best(cells, ["name"], {"up": True, "down": False}, F.col("name") != "d").collect()}
+    assert got[("up", "a")] == got[("up", "b")] == (1, "best") and got[("up", "c")] == (2, "second") and got[("up", "d")] == (0, None)
+    assert got[("down", "b")] == (1, "best") and got[("down", "a")] == (2, "second") and got[("down", "c")] == got[("down", "d")] == (0, None)
