@@ -98,7 +98,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 _OP9 = rf"""
-WITH made AS (
+WITH refs AS (SELECT {{names}} AS names, {{chars}} AS chars, {{c1}} AS c1), made AS (
   SELECT page_id, url, coalesce(html, '') AS body FROM pages
 ), blocks AS (
   SELECT *, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) AS head FROM made
@@ -107,23 +107,24 @@ WITH made AS (
 ), named AS (
   SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS rid, 'sha256:' || sha256(body) AS payload_digest FROM ids
 ), texts AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(body, '{warc.COMMENT}', '', 'g'), '{warc.HIDDEN}', '', 'g'), '{warc.TITLE}', '', 'g') AS shown,
-    regexp_replace(regexp_extract(body, '{warc.TITLE}', 1), '[\r\n]+', ' ', 'g') AS raw_title, regexp_extract(body, '{warc.LANGUAGE.replace("'", "''")}', 1) AS language,
-    regexp_extract_all(body, '{warc.LINK.replace("'", "''")}', 1) AS all_links
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(body, {{COMMENT}}, '', 'g'), {{HIDDEN}}, '', 'g'), {{TITLE}}, '', 'g') AS shown,
+    regexp_extract(body, {{TITLE}}, 1) AS raw_title, regexp_extract(body, {{LANGUAGE}}, 1) AS language,
+    regexp_extract_all(body, {{LINK_SQL}}, 1) AS raw_links
   FROM named
 ), plain AS (
   SELECT *, {{unescape_title}} AS title0, {{unescape_shown}} AS text0,
-    list_filter(all_links, lambda x, i: list_position(all_links, x) = i) AS links
-  FROM (SELECT *, regexp_replace(regexp_replace(shown, '{warc.BREAK}', chr(10), 'g'), '{warc.TAG}', '', 'g') AS stripped FROM texts)
+    list_filter(list_transform(list_transform(raw_links, lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')), lambda y: trim(regexp_replace({{unescape_y}}, '[\r\n\t]+', '', 'g'), ' ')), lambda z: z <> '') AS all_links
+  FROM (SELECT *, regexp_replace(regexp_replace(shown, {{BREAK}}, chr(10), 'g'), {{TAG}}, '', 'g') AS stripped FROM texts), refs
 ), done AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(title0, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS title,
-    regexp_replace(regexp_replace(regexp_replace(text0, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS plain_text FROM plain
+  SELECT *, list_filter(all_links, lambda x, i: list_position(all_links, x) = i) AS links,
+    replace(regexp_replace(regexp_replace(regexp_replace(title0, '{warc.BLANKS}', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g'), chr(10), ' ') AS title,
+    regexp_replace(regexp_replace(regexp_replace(text0, '{warc.BLANKS}', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS plain_text FROM plain
 ), records AS (
   SELECT page_id, url, rid, payload_digest, 'conversion' AS warc_type, 'text/plain; charset=utf-8' AS content_type, plain_text AS block FROM done
   UNION ALL
   SELECT page_id, url, rid, payload_digest, 'metadata', 'application/warc-fields',
     'source-status: ' || replace(head, chr(13) || chr(10), chr(13) || chr(10) || 'source-header: ') || chr(13) || chr(10) || 'source-payload-digest: ' || payload_digest || chr(13) || chr(10) ||
-    'title: ' || title || chr(13) || chr(10) || 'language: ' || language || chr(13) || chr(10) || coalesce(list_aggregate(list_transform(links, lambda x: 'outlink: ' || {{unescape_x}} || chr(13) || chr(10)), 'string_agg', ''), '')
+    'title: ' || title || chr(13) || chr(10) || 'language: ' || language || chr(13) || chr(10) || coalesce(list_aggregate(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), 'string_agg', ''), '')
   FROM done
 ), hashed AS (
   SELECT *, md5(warc_type || '|' || rid || '|' || sha256(block)) AS h FROM records
@@ -133,21 +134,35 @@ WITH made AS (
 )
 SELECT page_id, warc_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, payload_digest,
   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || warc_type || chr(13) || chr(10) || 'WARC-Record-ID: ' || record_id || chr(13) || chr(10) || 'WARC-Date: {warc.DATE}' || chr(13) || chr(10) ||
-  coalesce('WARC-Target-URI: ' || target_uri || chr(13) || chr(10), '') || 'WARC-Refers-To: ' || refers_to || chr(13) || chr(10) || 'WARC-Block-Digest: ' || block_digest || chr(13) || chr(10) ||
+  coalesce('WARC-Target-URI: ' || replace(replace(target_uri, chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10), '') || 'WARC-Refers-To: ' || refers_to || chr(13) || chr(10) || 'WARC-Block-Digest: ' || block_digest || chr(13) || chr(10) ||
   'WARC-Source-Payload-Digest: ' || payload_digest || chr(13) || chr(10) || 'Content-Type: ' || content_type || chr(13) || chr(10) || 'Content-Length: ' || content_length || chr(13) || chr(10) AS headers,
   block FROM final
 """
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _unescape_sql(x: str) -> str:
-    for name, char in warc.ENTITIES:
-        quoted = "''''" if char == "'" else f"'{char}'"
-        x = f"replace({x}, '{name}', {quoted})"
-    return x
+    code = "CASE WHEN p[3:3] IN ('x', 'X') THEN ('0x' || p[4:length(p) - 1])::BIGINT ELSE p[3:length(p) - 1]::BIGINT END"
+    known = f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) WHEN {code} BETWEEN 128 AND 159 THEN c1[{code} - 127] ELSE chr(({code})::INT) END"
+    read = f"CASE WHEN p[1:1] <> '&' OR p = '&' THEN p WHEN p[2:2] = '#' THEN {known} ELSE coalesce(chars[list_position(names, p)], p) END"
+    return f"coalesce(list_aggregate(list_transform(regexp_extract_all({x}, {_quoted(warc.PIECE)}), lambda p: {read}), 'string_agg', ''), '')"
+
+
+def _op9() -> str:
+    said = {"names": f"[{', '.join(map(_quoted, warc.NAMES))}]", "chars": f"[{', '.join(map(_quoted, warc.NAMES.values()))}]", "c1": f"[{', '.join(map(_quoted, warc.C1))}]"}
+    said |= {name: _quoted(warc.plain_pattern(getattr(warc, name))) for name in ("COMMENT", "HIDDEN", "TITLE", "LANGUAGE", "LINK_SQL", "BREAK", "TAG")}
+    said |= {"unescape_title": _unescape_sql("raw_title"), "unescape_shown": _unescape_sql("stripped"), "unescape_y": _unescape_sql("y")}
+    sql = _OP9
+    for name, value in said.items():
+        sql = sql.replace("{" + name + "}", value)
+    return sql
 
 
 ORACLE_SQL = {
     "op3_decontamination": _OP3,
     "op5_quality_rules": _op5(),
-    "op9_warc_derivatives": _OP9.replace("{unescape_title}", _unescape_sql("raw_title")).replace("{unescape_shown}", _unescape_sql("stripped")).replace("{unescape_x}", _unescape_sql("x")),
+    "op9_warc_derivatives": _op9(),
 }

@@ -10,44 +10,87 @@ wire form of a record is a column expression too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import html5
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # WARC 1.1 names and formats.
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Patterns that both engines read alike.
-COMMENT = r"(?s)<!--.*?-->"
-HIDDEN = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-BREAK = r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|body|title|blockquote|pre)\b[^>]*>"
-TAG = r"(?s)<[^>]*>"
+#: The inside of a tag; ``>`` within a quoted value does not end it. Possessive, so that long tags need no stack.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: Each kind of hidden part ends at its own end tag; a script or style that never ends hides the rest, as in a browser.
+HIDDEN = r"(?is)<(?:%s)" % "|".join(rf"{name}\b{_INSIDE}>.*?(?:</{name}\s*>{end})" for name, end in (("script", r"|\z"), ("style", r"|\z"), ("noscript", ""), ("template", "")))
+TITLE = rf"(?is)<title\b{_INSIDE}>(.*?)</title\s*>"
+BREAK = rf"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|body|title|blockquote|pre)\b{_INSIDE}>"
+TAG = rf"(?s)<[A-Za-z/!?]{_INSIDE}>"
 LANGUAGE = r"(?is)<html\b[^>]*\blang=[\"']?([A-Za-z-]+)"
-LINK = r"(?is)<a\b[^>]*\bhref=[\"']([^\"'<>\s]+)[\"']"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+_VALUE = r"""\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = r"""(?is)<a\b(?:(?!\shref\s*=)[^>"']|"[^"]*+"|'[^']*+')*+""" + _VALUE
+#: The same for an engine without lookahead.
+LINK_SQL = r"""(?is)<a\b(?:[^>"']|"[^"]*"|'[^']*')*?""" + _VALUE
+#: A text in pieces: references with their semicolon, and what lies between.
+PIECE = r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]+|&"
+#: Named references, those of Latin-1 first: a lookup ends at its find.
+NAMES = dict(sorted((("&" + k, v) for k, v in html5.items() if k.endswith(";")), key=lambda x: (x[1] not in "&<>\"'\xa0", max(map(ord, x[1])), x[0])))
+#: What numbers from 128 to 159 stand for: the characters of Windows-1252, where it has them.
+C1 = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
+BLANKS = "[ \\t\\r\\f ]+"
+
+
+def plain_pattern(pattern: str) -> str:
+    """``pattern`` for an engine without possessive loops, which matches the same."""
+    return pattern.replace("++", "+").replace("*+", "*")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; null, surrogates and numbers beyond Unicode give U+FFFD."""
+    known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return (
+        F.when(~known, F.lit("�")).when(code.between(128, 159), F.element_at(F.array(*map(F.lit, C1)), (code - 127).cast("int")))
+        .when(code == 0xFEFF, F.lit("﻿")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
 
 
 def _unescape(x: Column) -> Column:
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Character references read once: every name of HTML and all numbers, if a semicolon ends them; others stay, control characters too."""
+    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in NAMES.items())), F.lit("\x02"), F.lit("\x01"))
+
+    def read(piece):
+        number = F.when(F.substring(piece, 3, 1).isin("x", "X"), F.conv(F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(piece, "^&#([0-9]+)", 1))
+        decoded = F.when(piece.startswith("&#"), _character(number.cast("long"))).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+        return F.when(piece.startswith("&") & (F.length(piece) > 1), decoded).otherwise(piece)
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(PIECE), F.lit(0)), read), "")
 
 
 def _squeeze(x: Column) -> Column:
     """One blank between words, one line feed between lines, none at the ends."""
-    x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
+    x = F.regexp_replace(x, BLANKS, " ")
     x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(x, F.lit(" \n"))
 
 
 def html_text(html: Column) -> Column:
-    """Plain text of a page: comments and hidden parts go, block tags break lines, entities are read."""
+    """Plain text of a page: comments and hidden parts go, block tags break lines, character references are read.
+
+    ``>`` in quoted values does not end a tag, ``<`` before a blank or a digit begins none, and a tag that never
+    ends stays as text. Names without a semicolon and numbers of more than nine digits stay as they are.
+    """
     shown = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN, "")
     shown = F.regexp_replace(shown, TITLE, "")
     return _squeeze(_unescape(F.regexp_replace(F.regexp_replace(shown, BREAK, "\n"), TAG, "")))
 
 
+def _links(body: Column) -> Column:
+    """Targets of a page's links in order, each once: references read, line ends and tabs out, blanks at the ends gone."""
+    bare = F.transform(F.regexp_extract_all(body, F.lit(LINK), F.lit(1)), lambda x: F.trim(F.regexp_replace(_unescape(F.regexp_replace(x, "^[\"']|[\"']$", "")), "[\r\n\t]+", "")))
+    return F.array_distinct(F.filter(bare, lambda x: x != ""))
+
+
 def _id(*parts: Column | str) -> Column:
     h = F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)))
     cut = lambda a, n: F.substring(h, a, n)
@@ -87,14 +130,13 @@ def derive(records: DataFrame) -> DataFrame:
         F.when(cut > 0, F.substring("block", F.lit(1), cut - 1)).otherwise(F.col("block")).alias("head"),
         F.when(cut > 0, F.substring("block", cut + 4, F.length("block"))).otherwise(F.lit("")).alias("body"),
     )
-    links = F.array_distinct(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)))
-    title = _squeeze(_unescape(F.regexp_replace(F.regexp_extract("body", TITLE, 1), r"[\r\n]+", " ")))
+    title = F.replace(_squeeze(_unescape(F.regexp_extract("body", TITLE, 1))), F.lit("\n"), F.lit(" "))
     language = F.regexp_extract("body", LANGUAGE, 1)
     headers = F.regexp_replace("head", r"\r\n", "\r\nsource-header: ")
     fields = F.concat(
         F.lit("source-status: "), headers, F.lit(CRLF), F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit(CRLF),
         F.lit("title: "), title, F.lit(CRLF), F.lit("language: "), language, F.lit(CRLF),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), _unescape(x), F.lit(CRLF))), ""),
+        F.array_join(F.transform(_links(F.col("body")), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""),
     )
     made = found.select("page_id", "record_id", "target_uri", "date", F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -105,8 +147,12 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def wire(records: DataFrame) -> DataFrame:
-    """``records`` with ``headers`` and ``wire``: the record as it stands in a file, up to the two line ends that close it."""
-    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, F.lit(CRLF))).otherwise(F.lit(""))
+    """``records`` with ``headers`` and ``wire``: the record as it stands in a file, up to the two line ends that close it.
+
+    Line ends in a header's value are percent-encoded, so no value can begin another header; null values have no header.
+    """
+    encoded = lambda value: F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), encoded(value), F.lit(CRLF))).otherwise(F.lit(""))
     headers = F.concat(
         F.lit(VERSION + CRLF), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Refers-To", F.col("refers_to")),
         line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.when(F.col("warc_type") == "response", F.col("payload_digest"))), line("WARC-Source-Payload-Digest", F.when(F.col("warc_type") != "response", F.col("payload_digest"))),
@@ -133,6 +179,32 @@ def read_wire(data: bytes) -> list[dict]:
     return out
 
 
+def write_files(records: DataFrame, path: str, compression: str = "none") -> None:
+    """``records`` as WARC files in the folder ``path``, one a partition."""
+    wire(records).select(F.concat("headers", F.lit(CRLF), "block", F.lit(CRLF)).alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files of UTF-8 blocks: ``warc_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, block, whole``.
+
+    Files are split at the version line, so large ones are read by many tasks. A header
+    that a record lacks is null. ``whole`` is false where a record's length is not the stated one:
+    its block is damaged, or holds the version line itself and was cut there. Record heads
+    are read with names in any case; an empty folder gives no rows.
+    """
+    pieces = spark.read.option("lineSep", VERSION + CRLF).text(path).where(F.length("value") > 0)
+    cut = F.instr("value", CRLF + CRLF)
+    parts = pieces.select(F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring("value", cut + 4, F.length("value")).alias("rest")).where(F.col("head") != "")
+    header = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    size = header("Content-Length").cast("long")
+    return parts.select(
+        header("WARC-Type").alias("warc_type"), header("WARC-Record-ID").alias("record_id"), header("WARC-Refers-To").alias("refers_to"), header("WARC-Target-URI").alias("target_uri"), header("WARC-Date").alias("date"), header("Content-Type").alias("content_type"),
+        size.alias("content_length"), header("WARC-Block-Digest").alias("block_digest"), F.coalesce(header("WARC-Payload-Digest"), header("WARC-Source-Payload-Digest")).alias("payload_digest"),
+        F.regexp_replace("rest", r"\r\n\r\n\z", "").alias("block"), F.coalesce((F.octet_length("rest") == size + 4) & F.endswith("rest", F.lit(CRLF + CRLF)), F.lit(False)).alias("whole"),
+    )
+
+
 def op9_warc(pages: DataFrame) -> DataFrame:
+    """Derivatives of all ``pages`` with their headers; null pages and urls as in ``responses``, repeated pages give repeated records."""
     made = wire(derive(responses(pages)))
     return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "headers", "block")

@@ -438,6 +438,55 @@ def test_wire_round_trip(spark):
     assert by[1, "metadata"].payload_digest == by[1, "response"].payload_digest
 
 
+def test_references_against_the_library(spark):
+    import html
+
+    from pyspark.sql import functions as F
+
+    # The library drops control characters and non-characters, which pages keep.
+    codes = [c for c in (*range(128, 70000, 7), *range(65536, 0x110000, 4999), 0, 0xD800, 0x110000, 99999999) if c not in (127, 0xFFFF, 0x81, 0x8D, 0x8F, 0x90, 0x9D) and not 0xFDD0 <= c <= 0xFDEF and c & 0xFFFE != 0xFFFE]
+    texts = [*warc.NAMES, "&&amp;;", "&amp;lt;", "&bogus;", "& b", "", "no reference\n", "a&#65;&#x42;&#X43;c", *(f"&#{c};" for c in codes), *(f"x&#x{c:x}; y" for c in codes)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc._unescape(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in rows if r.u != html.unescape(r.t)] == [] and len(rows) == len(texts)
+
+
+def test_pages_that_break_simple_patterns(spark):
+    from pyspark.sql import functions as F
+
+    said = {
+        '<p title="b>c">x</p>': "x",
+        "a < b and 3<4": "a < b and 3<4",
+        "<noscript><style>q</style>hidden</noscript>shown": "shown",
+        "<script>if (a < b) '</p>'": "",
+        "one<!-- never ends <p>two</p>": "one",
+        "&mdash; &#233;&#xE9; &copy;&middot; &copy": "— éé ©· &copy",
+        "<a " + '"" x ' * 20000 + ">t</a>" + "&x" * 5: "t" + "&x" * 5,
+        '<p class="open>text</p>': '<p class="open>text',
+        "": "",
+    }
+    pages = spark.createDataFrame(list(said.items()), "html string, want string")
+    assert [(r.got, r.want) for r in pages.select(warc.html_text(F.col("html")).alias("got"), "want").collect() if r.got != r.want] == []
+    links = """<a title='>' data-x=" href='n'" href=' /y&amp;z&#10;k '>l</a><A HREF=u1>e</A><a href=''>e</a><a href="u1">again</a><abbr href=no>"""
+    assert spark.createDataFrame([(links,)], "h string").select(warc._links(F.col("h"))).first()[0] == ["/y&zk", "u1"]
+
+
+def test_files_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<title>T{i}</title><p>é {i}</p>\r\n\r\n" * (i % 4)) for i in range(40)] + [(50, "http://b/\r\nWARC-Type: response", "<p>x"), (51, None, None), (52, "u", f"holds {warc.VERSION}\r\n inside")], "page_id long, url string, html string")
+    made = warc.responses(pages.repartition(3))
+    made = made.unionByName(warc.derive(made))
+    warc.write_files(made, f"{tmp_path}/w", compression="gzip")
+    got, want = warc.read_files(spark, f"{tmp_path}/w").toPandas(), made.toPandas()
+    cut = set(want[want.block.str.contains(warc.VERSION + "\r\n", regex=False)].record_id)
+    assert len(cut) == 1 and set(got[~got.whole].record_id.dropna()) == cut
+    read = {r.record_id: r for r in got[got.whole].itertuples()}
+    assert len(want) == 129 and set(read) == set(want.record_id) - cut
+    for r in want[~want.record_id.isin(cut)].itertuples():
+        back = read[r.record_id]
+        assert (back.block, back.warc_type, back.refers_to, back.block_digest, back.payload_digest, back.content_length) == (r.block, r.warc_type, r.refers_to, r.block_digest, r.payload_digest, r.content_length)
+        assert back.target_uri == (r.target_uri and r.target_uri.replace("\r\n", "%0D%0A"))
+    assert warc.read_files(spark, f"{tmp_path}/w").where("warc_type = 'response' and record_id is not null").count() == 43
+
+
 # --- 10 -----------------------------------------------------------------------
 
 
