@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their number: empty if the key is one."""
@@ -49,11 +51,9 @@ def reconcile(expected: DataFrame, found: DataFrame, key: str, value: str) -> Da
 def donors(people: DataFrame, pid: str, seed: str, rank: Column) -> DataFrame:
     """A bijection without fixed points (for two people or more): each one's donor is the next in hash order, the last's the first.
 
-    ``people`` is a table of distinct ids, so the one ordering is over people, never over facts.
+    ``people`` is a table of distinct ids; no task orders all of them.
     """
-    order = Window.orderBy(rank, F.col(pid))
-    first = F.first_value(pid).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return people.select(pid, F.coalesce(F.lead(pid).over(order), first).alias("donor"))
+    return order.successors(people.select(pid), pid, rank, "donor")
 
 
 def as_of(facts: DataFrame, at: str, phases: DataFrame, start: str, settings: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
-from ..operators import match, rank
+from ..operators import contain, match, order, rank
 from ..sources.tables import table
 from .registry import h, query, r6
 
@@ -45,10 +45,8 @@ def audit_reconcile(spark, sf):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leakage_guard(spark, sf):
-    """The items, a short list, are one row that every text is searched with where it is read."""
-    items = table(spark, sf, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    docs = table(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(items))
-    return docs.select("doc_id", F.explode(F.filter("items", lambda i: F.contains(F.col("text"), i["text"]))).alias("i")).select("doc_id", "i.item_id")
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    return contain.contained(docs, items, "doc_id", "item_id", "text")
 
 
 @query(f"SELECT event_id FROM events WHERE {h("'done|' || event_id")} % 2 = 1")
@@ -94,8 +92,9 @@ def expected_fill(spark, sf):
 
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS by_number, row_number() OVER (ORDER BY c_custkey::VARCHAR) AS by_text FROM customer""")
 def sorted_examples(spark, sf):
-    rank = lambda o: F.row_number().over(Window.orderBy(o)).cast("long")
-    return table(spark, sf, "customer").select("c_custkey", rank(F.col("c_custkey")).alias("by_number"), rank(F.col("c_custkey").cast("string")).alias("by_text"))
+    people = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("said"))
+    by_number = order.numbered(people, [F.col("c_custkey")], order.sort_number(people, "c_custkey"), "by_number")
+    return order.numbered(by_number, [F.col("said")], order.sort_number(people, "said"), "by_text").drop("said")
 
 
 @query("""WITH s AS (SELECT event_type AS name, round(avg(value), 1) AS loss, min(event_id) AS pos FROM events GROUP BY 1) SELECT name, loss FROM s ORDER BY loss, pos LIMIT 1""")
