@@ -14,8 +14,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _run(words: Column, at: Column | int, length: int) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, at, length), " "))
+def _run(words: Column, at: Column, length: int) -> Column:
+    """Hash of ``length`` words from place ``at`` on, counted from 0."""
+    return F.xxhash64(*(F.get(words, at + k) for k in range(length)))
 
 
 def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, length: int = 3, block: int = 1000) -> DataFrame:
@@ -29,9 +30,9 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str,
     """
     asked = items.select(F.col(item).alias("_item"), F.col(text).alias("_said")).where("_said is not null").distinct().withColumn("_w", _words(F.col("_said")))
     long_enough = F.size("_w") >= length + 2
-    keyed = asked.where(long_enough).select("_item", "_said", _run(F.col("_w"), 2, length).alias("_run"))
+    keyed = asked.where(long_enough).select("_item", "_said", _run(F.col("_w"), F.lit(1), length).alias("_run"))
     words = docs.select(F.col(doc).alias("_doc"), _words(F.col(text)).alias("_w")).where(F.size("_w") >= length + 2)
-    places = F.sequence(F.lit(2), F.size("_w") - length)
+    places = F.sequence(F.lit(1), F.size("_w") - length - 1)
     runs = words.select("_doc", F.explode(F.array_distinct(F.transform(places, lambda i: _run(F.col("_w"), i, length)))).alias("_run"))
     candidates = runs.join(keyed, "_run").select("_doc", "_item", "_said").distinct()
     found = [docs.join(candidates, F.col(doc).eqNullSafe(F.col("_doc"))).where(F.contains(text, "_said")).select(doc, F.col("_item").alias(item))]

@@ -18,7 +18,7 @@ def draw_weights(people: DataFrame, pid: str, draws: int, seed: str) -> DataFram
     by hash, and picks are summed before any join.
     """
     numbered = order.numbered(people.select(pid), [F.col(pid)], order.sort_number(people, pid), "i").withColumn("i", F.col("i") - 1)
-    n = numbered.agg(F.count("*").alias("n"))
+    n = people.agg(F.count("*").alias("n"))
     picks = numbered.select("i").crossJoin(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "i", "n")
     picked = picks.select("draw", F.pmod(hash_int(seed, F.col("draw"), F.col("i")), F.col("n")).alias("i")).groupBy("draw", "i").agg(F.count("*").alias("times"))
     return picked.join(numbered, "i").select("draw", pid, "times")
