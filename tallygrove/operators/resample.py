@@ -17,7 +17,7 @@ def draw_weights(people: DataFrame, pid: str, draws: int, seed: str) -> DataFram
     People are numbered once (a table of distinct ids), each draw picks numbers
     by hash, and picks are summed before any join.
     """
-    numbered = order.numbered(people.select(pid), [F.col(pid)], order.sort_number(people, pid), "i").withColumn("i", F.col("i") - 1)
+    numbered = order.numbered(people.select(pid), [F.col(pid)], "i").withColumn("i", F.col("i") - 1)
     n = people.agg(F.count("*").alias("n"))
     picks = numbered.select("i").crossJoin(F.broadcast(n)).select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "i", "n")
     picked = picks.select("draw", F.pmod(hash_int(seed, F.col("draw"), F.col("i")), F.col("n")).alias("i")).groupBy("draw", "i").agg(F.count("*").alias("times"))
@@ -36,7 +36,7 @@ def split(people: DataFrame, pid: str, seed: str, shares: tuple[float, float] =
     """train, dev, test by hash order; pinned people come first. No task orders all of them."""
     first = F.when(F.col(pid).isin(*pinned), 0).otherwise(1) if pinned else F.lit(1)
     hashed = hash_int(seed, F.col(pid))
-    ranked = order.numbered(people.select(pid), [first, hashed, F.col(pid)], (first * 2**32 + hashed).cast("double"), "k")
+    ranked = order.numbered(people.select(pid), [first, hashed, F.col(pid)], "k")
     total = people.agg(F.count("*").alias("n"))
     cut = ranked.crossJoin(F.broadcast(total))
     a, b = F.floor(F.col("n") * shares[0]), F.floor(F.col("n") * (shares[0] + shares[1]))

@@ -93,8 +93,8 @@ def expected_fill(spark, sf):
 @query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS by_number, row_number() OVER (ORDER BY c_custkey::VARCHAR) AS by_text FROM customer""")
 def sorted_examples(spark, sf):
     people = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("said"))
-    by_number = order.numbered(people, [F.col("c_custkey")], order.sort_number(people, "c_custkey"), "by_number")
-    return order.numbered(by_number, [F.col("said")], order.sort_number(people, "said"), "by_text").drop("said")
+    by_number = order.numbered(people, [F.col("c_custkey")], "by_number")
+    return order.numbered(by_number, [F.col("said")], "by_text").drop("said")
 
 
 @query("""WITH s AS (SELECT event_type AS name, round(avg(value), 1) AS loss, min(event_id) AS pos FROM events GROUP BY 1) SELECT name, loss FROM s ORDER BY loss, pos LIMIT 1""")
