@@ -1,8 +1,8 @@
-"""The ten operators as queries over whole tables, and SQL where it can express them."""
+"""The operators as queries over whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets_crf, sharding, simhash, warc
+from . import decontam, fim, line_dedup, mixing, pii, quality_classifier, quality_rules, resampling, secrets_crf, sharding, simhash, warc
 from .common import table
 
 
@@ -46,7 +46,15 @@ def op10_entropy_mixing(spark, sf_dir):
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_decontamination, op4_feistel_pseudonyms, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_warc_derivatives, op10_entropy_mixing)}
+def op11_resampling(spark, sf_dir):
+    return resampling.op11_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.op13_fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_decontamination, op4_feistel_pseudonyms, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_warc_derivatives, op10_entropy_mixing, op11_resampling, op13_fill_in_middle)}
 
 _OP3 = r"""
 WITH words AS (
@@ -140,6 +148,16 @@ SELECT page_id, warc_type, record_id, refers_to, target_uri, content_type, conte
 """
 
 
+_OP13 = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+cuts AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, left(t, least(x, y)) AS prefix, substring(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle, substring(t, greatest(x, y) + 1) AS suffix FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -165,4 +183,5 @@ ORACLE_SQL = {
     "op3_decontamination": _OP3,
     "op5_quality_rules": _op5(),
     "op9_warc_derivatives": _op9(),
+    "op13_fill_in_middle": _OP13,
 }
