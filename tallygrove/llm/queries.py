@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fim, line_dedup, mixing, pii, quality_classifier, quality_rules, resampling, secrets_crf, sharding, simhash, warc
+from . import decontam, fim, line_dedup, mixing, pii, quality_classifier, quality_rules, resampling, secrets_crf, sharding, simhash, suffix_dedup, warc
 from .common import table
 
 
@@ -50,11 +50,15 @@ def op11_resampling(spark, sf_dir):
     return resampling.op11_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.op12_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     return fim.op13_fill_in_middle(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_decontamination, op4_feistel_pseudonyms, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_warc_derivatives, op10_entropy_mixing, op11_resampling, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_decontamination, op4_feistel_pseudonyms, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_simhash_dedup, op9_warc_derivatives, op10_entropy_mixing, op11_resampling, op12_suffix_dedup, op13_fill_in_middle)}
 
 _OP3 = r"""
 WITH words AS (
