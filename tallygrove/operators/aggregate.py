@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantile
+
 
 def person_group_mean(rows: DataFrame, person: str, group: str, value: str) -> DataFrame:
     """Mean of what is not null; a person without responses in a group has no row."""
@@ -32,9 +34,8 @@ def transitions(rows: DataFrame, a: str, b: str, levels: list) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Linear interpolation, exact."""
-    qs = F.percentile(value, F.array(*(F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0))))
-    got = rows.groupBy(group).agg(qs.alias("q"))
+    """Linear interpolation, exact, by distributed selection."""
+    got = quantile.quantiles(rows, group, value, [0.0, 0.25, 0.5, 0.75, 0.95, 1.0])
     return got.select(group, *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("min", "p25", "median", "p75", "p95", "max"))))
 
 

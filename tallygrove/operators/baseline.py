@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bin_index
+from . import quantile
+
 
 def option_counts(train: DataFrame, item: str, code: str, levels: int) -> DataFrame:
     """Counts of all options of every item, zeros included."""
@@ -27,20 +30,25 @@ def mode(train: DataFrame, item: str, code: str) -> DataFrame:
 
 
 def median(train: DataFrame, item: str, value: str) -> DataFrame:
-    return train.groupBy(item).agg(F.median(value).alias("median"))
+    return quantile.median(train, item, value)
 
 
 def price_edges(train: DataFrame, item: str, price: str) -> DataFrame:
-    qs = F.percentile(price, F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8))))
-    return train.groupBy(item).agg(F.array_distinct(qs).alias("edges"))
+    """Fifths of each item's prices, equal ones once."""
+    return quantile.quantiles(train, item, price, [0.2, 0.4, 0.6, 0.8]).select(item, F.array_distinct("q").alias("edges"))
+
+
+def price_binned(rows: DataFrame, edges: DataFrame, item: str, price: str) -> DataFrame:
+    """``rows`` with ``bin``, the number of the item's edges at or below the price; items without edges go."""
+    return rows.join(edges, item).withColumn("bin", bin_index(F.col(price), F.col("edges"))).drop("edges")
 
 
-def price_rates(train: DataFrame, item: str, code: str, price: str, levels: int, weight: float = 5.0) -> DataFrame:
-    """Option rates by price bin, drawn to the item's smoothed distribution: (local + w * prior) / (n + w)."""
-    from ..functions.scalars import bin_index
+def price_rates(binned: DataFrame, item: str, code: str, levels: int, weight: float = 5.0) -> DataFrame:
+    """Option rates of binned training rows by price bin, drawn to the item's smoothed distribution: (local + w * prior) / (n + w).
 
-    binned = train.join(price_edges(train, item, price), item).withColumn("bin", bin_index(F.col(price), F.col("edges")))
+    Bins, then items, are sums of the same cells, so the rows are grouped once.
+    """
     cells = binned.groupBy(item, "bin").agg(F.count("*").alias("n"), *(F.count_if(F.col(code) == k).alias(f"n_{k}") for k in range(1, levels + 1)))
     long = cells.select(item, "bin", "n", F.explode(F.array(*(F.struct(F.lit(k).alias(code), F.col(f"n_{k}").alias("local")) for k in range(1, levels + 1)))).alias("s")).select(item, "bin", "n", "s.*")
-    prior = smoothed(train, item, code, levels)
-    return long.join(prior, [item, code]).select(item, "bin", code, ((F.col("local") + weight * F.col("p")) / (F.col("n") + weight)).alias("rate"))
+    totals = long.groupBy(item, code).agg(((F.sum("local") + 1) / (F.sum("n") + levels)).alias("p"))
+    return long.join(totals, [item, code]).select(item, "bin", code, ((F.col("local") + weight * F.col("p")) / (F.col("n") + weight)).alias("rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_int
-from ..operators import contain, match, order, rank
+from ..operators import contain, match, order, quantile, rank
 from ..sources.tables import table
 from .registry import h, query, r6
 
@@ -108,7 +108,7 @@ SELECT (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS bot
 def set_ops(spark, sf):
     a = table(spark, sf, "customer").where(_split() == "train").select(F.col("c_custkey").alias("k"))
     orders = table(spark, sf, "orders")
-    cut = orders.agg(F.percentile("o_totalprice", 0.9).alias("cut"))
+    cut = quantile.quantiles(orders, None, "o_totalprice", [0.9]).select(F.get("q", F.lit(0)).alias("cut"))
     b = orders.crossJoin(F.broadcast(cut)).where("o_totalprice > cut").select(F.col("o_custkey").alias("k")).distinct()
     both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "k", "full")
     x, y = F.col("a").isNotNull(), F.col("b").isNotNull()

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.scalars import bin_index, hash_int
-from ..operators import aggregate, baseline, resample, summary
+from ..functions.scalars import hash_int
+from ..operators import aggregate, baseline, quantile, resample, summary
 from ..sources.tables import table
 from .registry import CAT, PAIRS, PREDS, cat, h, macro_sql, pairs, preds, query, r6
 
@@ -79,7 +79,7 @@ binned AS (SELECT c.*, (e1 <= price)::INT + (e2 <= price AND e2 > e1)::INT + (e3
 def price_bins(spark, sf):
     rows = cat(spark, sf)
     edges = baseline.price_edges(rows.where("split = 'train'"), "item", "price")
-    return rows.join(edges, "item").groupBy("item", bin_index(F.col("price"), F.col("edges")).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return baseline.price_binned(rows, edges, "item", "price").groupBy("item", F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 _PRICE = f"""{_EDGES}, prior AS (SELECT item, (count(*) FILTER (code = 1) + 1e0) / (count(*) + 2) AS p1, (count(*) FILTER (code = 2) + 1e0) / (count(*) + 2) AS p2 FROM cat WHERE split = 'train' GROUP BY 1),
@@ -88,18 +88,17 @@ rates AS (SELECT item, bin, (count(*) FILTER (code = 1) + 5 * any_value(p1)) / (
 
 @query(f"WITH {CAT}, {_PRICE} SELECT item, bin::BIGINT AS bin, 1 AS code, round(r1, 6) AS rate FROM rates UNION ALL SELECT item, bin, 2, round(r2, 6) FROM rates")
 def price_aware(spark, sf):
-    got = baseline.price_rates(cat(spark, sf).where("split = 'train'"), "item", "code", "price", 2)
+    train = cat(spark, sf).where("split = 'train'")
+    got = baseline.price_rates(baseline.price_binned(train, baseline.price_edges(train, "item", "price"), "item", "price"), "item", "code", 2)
     return got.select("item", F.col("bin").cast("long").alias("bin"), "code", r6(F.col("rate")).alias("rate"))
 
 
 @query(f"WITH {CAT}, {_PRICE} SELECT b.bin::BIGINT AS bin, count(*) AS n, round(avg(CASE WHEN code = 1 THEN 1e0 ELSE 0e0 END), 6) AS observed, round(avg(r1), 6) AS predicted FROM binned b JOIN rates r ON b.item = r.item AND b.bin = r.bin WHERE split = 'dev' GROUP BY 1")
 def calibration_bins(spark, sf):
     rows = cat(spark, sf)
-    train, dev = rows.where("split = 'train'"), rows.where("split = 'dev'")
-    rates = baseline.price_rates(train, "item", "code", "price", 2).where("code = 1").select("item", "bin", "rate")
-    edges = baseline.price_edges(train, "item", "price")
-    binned = dev.join(edges, "item").withColumn("bin", bin_index(F.col("price"), F.col("edges")))
-    met = binned.join(rates, ["item", "bin"])
+    binned = baseline.price_binned(rows, baseline.price_edges(rows.where("split = 'train'"), "item", "price"), "item", "price")
+    rates = baseline.price_rates(binned.where("split = 'train'"), "item", "code", 2).where("code = 1").select("item", "bin", "rate")
+    met = binned.where("split = 'dev'").join(rates, ["item", "bin"])
     return met.groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg((F.col("code") == 1).cast("double"))).alias("observed"), r6(F.avg("rate")).alias("predicted"))
 
 
@@ -122,8 +121,9 @@ def transition_matrix(spark, sf):
 @query(f"WITH {PAIRS}, e AS (SELECT grp, CASE WHEN event_id % 13 = 0 THEN NULL ELSE abs(later - earlier) END AS err FROM pairs) SELECT grp, round(avg(err), 6) AS mae, round(median(err), 6) AS median_ae, count(err) AS valid, count(*) AS attempted FROM e GROUP BY 1")
 def numeric_errors(spark, sf):
     err = F.when(F.pmod("event_id", F.lit(13)) != 0, F.abs(F.col("later") - F.col("earlier")))
-    got = pairs(spark, sf).withColumn("err", err).groupBy("grp")
-    return got.agg(r6(F.avg("err")).alias("mae"), r6(F.median("err")).alias("median_ae"), F.count("err").alias("valid"), F.count("*").alias("attempted"))
+    rows = pairs(spark, sf).withColumn("err", err)
+    counts = rows.groupBy("grp").agg(r6(F.avg("err")).alias("mae"), F.count("err").alias("valid"), F.count("*").alias("attempted"))
+    return counts.join(quantile.median(rows, "grp", "err"), "grp", "left").select("grp", "mae", r6(F.col("median")).alias("median_ae"), "valid", "attempted")
 
 
 _FIVE = ("exact", "nll", "brier")
@@ -257,7 +257,7 @@ SELECT round(avg(m), 6) AS difference, count(*) AS groups, (SELECT round(quantil
 @query(_DIFF)
 def paired_diff(spark, sf):
     rows = pairs(spark, sf)
-    medians = rows.groupBy("grp").agg(F.median("later").alias("md"))
+    medians = quantile.median(rows, "grp", "later", "md")
     other = 1 - F.try_divide(F.abs(F.col("later") - F.col("md")), F.col("hi") - F.col("lo"))
     right = rows.join(medians, "grp").select("event_id", other.alias("agreement"))
     got = summary.paired_difference(rows.select("event_id", "person", "grp", "agreement"), right, "event_id", "person", "grp", "agreement", 100, "boot")
