@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Most steps of a date's walk.
+WALK = 128
 
 # The shapes searched, in order of precedence at one place.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -112,16 +114,28 @@ _CALENDARS = (("0001-01-01", 665, 1043), ("1900-01-01", 17, 4297), ("2100-01-01"
 
 
 def _date(x: Column, key: str) -> Column:
-    """A day moves within its calendar: 0001 to 1899, 1900 to 2099, or 2100 to 9999; the year 0000 stays."""
+    """A day moves within its calendar: 0001 to 1899, 1900 to 2099, or 2100 to 9999; the year 0000 stays.
+
+    Days from the 13th on move among themselves, and so do those up to the 12th: the permutation is repeated until
+    its day is of the same kind again. So a pseudonym is read as its date was (a month-first date that could not be
+    day-first stays one), one day has one pseudonym in all forms, and different days have different ones.
+    """
 
     def moved(day: Column) -> Column:
         out = F.lit(None).cast("date")
         for first, a, b in _CALENDARS:
-            start = F.lit(first).cast("date")
+            start, tweak = F.lit(first).cast("date"), F.lit("date" if a == 17 else f"date{a}")
+
+            def step(n: Column) -> Column:
+                s = _feistel(F.floor(n / b), F.pmod(n, F.lit(b)), F.lit(a), F.lit(b), key, tweak)  # noqa: B023
+                return F.aggregate(F.array(s), F.lit(0).cast("long"), lambda _, s: s["l"] * F.lit(b) + s["r"])  # noqa: B023
+
+            late = lambda n: F.dayofmonth(F.date_add(start, n.cast("int"))) > 12  # noqa: B023, E731
             n = F.datediff(day, start).cast("long")
-            s = _feistel(F.floor(n / b), F.pmod(n, F.lit(b)), F.lit(a), F.lit(b), key, F.lit("date" if a == 17 else f"date{a}"))
-            new = F.aggregate(F.array(s), F.lit(0).cast("long"), lambda _, s: s["l"] * F.lit(b) + s["r"])  # noqa: B023
-            out = F.when((n >= 0) & (n < a * b), F.date_add(start, new.cast("int"))).otherwise(out)
+            # A walk ends after two steps on average; one of WALK steps has a chance below 10^-28, and would show as an error.
+            walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(n), lambda m, _: F.when(late(m) == (F.dayofmonth(day) > 12), m).otherwise(step(m)))  # noqa: B023
+            settled = F.transform(F.array(walked), lambda m: F.when(late(m) == (F.dayofmonth(day) > 12), m).otherwise(F.raise_error(F.lit("a date's walk did not end")).cast("long")))[0]  # noqa: B023
+            out = F.when((n >= 0) & (n < a * b), F.date_add(start, settled.cast("int"))).otherwise(out)
         return out
 
     mark = F.substring(x, F.lit(3), F.lit(1))
@@ -233,7 +247,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 def op4_pseudonyms(docs: DataFrame, key: str = "tallygrove") -> DataFrame:
     """``doc_id``, the text with pseudonyms, and the number of them of each kind, one row per row of ``docs``.
 
-    Null texts stay null and have null counts; empty texts stay empty and count none;
+    Phone numbers count with a plus, or as three, three and four digits with hyphens or an area code in brackets; national
+    numbers without such marks stay. Null texts stay null and have null counts; empty texts stay empty and count none;
     repeated rows get equal results; extra columns are ignored; an empty table gives an empty
     result. ``key`` is a parameter: a user passes a secret, the query a fixed word.
     """

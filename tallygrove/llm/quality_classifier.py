@@ -104,6 +104,8 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, hess: np.
 def fit_rules(x: np.ndarray, y: np.ndarray, valid: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 48) -> RuleEnsemble:
     """Fit on plain arrays; ``valid`` marks the rows that choose the lasso penalty. Deterministic."""
     x, y = np.asarray(x, float), np.asarray(y, float)
+    if not len(y):
+        return RuleEnsemble()
     prior = (y.sum() + 1) / (len(y) + 2)
     constant = RuleEnsemble(bias=float(np.log(prior / (1 - prior))))
     if len(set(y.tolist())) < 2:
@@ -180,22 +182,26 @@ def fold(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", **options) -> RuleEnsemble:
-    """Fit on about ``sample_rows`` labelled rows at most, taken by hash of the id; held-out ids are never read.
+    """Fit on about ``sample_rows`` labelled ids at most, taken by hash; held-out ids are never read.
 
-    Rows without id, label or document are passed over; without two classes the
+    Each id and label gives one row, of the text with the least hash where several rows have the id, so the driver
+    gets no more rows than were picked. Rows without id, label or document are passed over; without two classes the
     ensemble is the smoothed prior alone.
     """
-    known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & (fold(label_id) != 0)).select(F.col(label_id).alias("i"), F.col(label_col).cast("int").alias("y"))
+    return fit_rules(*sample(docs, labels, sample_rows, id_col, text_col, label_id, label_col), **options)
+
+
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`train` fits on: statistics, labels, and the rows that choose the penalty."""
+    known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull() & (fold(label_id) != 0)).select(F.col(label_id).alias("i"), F.col(label_col).cast("int").alias("y")).distinct()
     number = known.count()
     part = min(1.0, sample_rows / max(1, number))
-    picked = known.where(F.pmod(F.xxhash64("i", F.lit(13)), F.lit(1_000_000)) < int(part * 1_000_000)).distinct()
+    picked = known.where(F.pmod(F.xxhash64("i", F.lit(13)), F.lit(1_000_000)) < int(part * 1_000_000))
     # The sample is bounded by sample_rows, so its few numbers may go to every task.
     near = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(picked), "i")
-    rows = statistics(near).select("i", "y", F.pmod(F.xxhash64("i", F.lit(17)), F.lit(5)).alias("f"), "_tg_stats.*").orderBy("i", "y", *STATS).collect()
-    if not rows:
-        return RuleEnsemble()
-    x, y = np.array([[r[k] for k in STATS] for r in rows]), np.array([r.y for r in rows])
-    return fit_rules(x, y, np.array([r.f == 0 for r in rows]), **options)
+    stats = statistics(near.withColumn("h", F.xxhash64("text"))).groupBy("i", "y").agg(F.min(F.struct("h", "_tg_stats")).alias("one"))
+    rows = stats.select("i", "y", F.pmod(F.xxhash64("i", F.lit(17)), F.lit(5)).alias("f"), "one._tg_stats.*").orderBy("i", "y").collect()
+    return np.array([[r[k] for k in STATS] for r in rows]).reshape(len(rows), len(STATS)), np.array([r.y for r in rows]), np.array([r.f == 0 for r in rows], bool)
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_name: str | None = None) -> DataFrame:
@@ -206,12 +212,19 @@ def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", score_na
 
 
 def reject_low(docs: DataFrame, labels: DataFrame, least: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, all columns kept."""
+    """The rows of ``docs`` that score ``least`` or more, all columns kept.
+
+    Null and empty texts are scored as empty; rows of equal text score alike, so ties and repeated rows stay or go together; an empty table stays empty.
+    """
     name = fresh(docs, "score")[0]
     return score(docs, train(docs, labels, **options), score_name=name).where(F.col(name) >= least).drop(name)
 
 
 def op1_quality_classifier(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """Contract digest of :func:`score` with a model of :func:`train`: ``doc_id, held_out, score, predicted``, one row per row.
+
+    Null and empty texts are scored as empty; a null id counts as held out; repeated rows get equal scores; extra columns are ignored; an empty table gives an empty result.
+    """
     model = train(docs, labels)
     scored = score(docs.select("doc_id", "text"), model, score_name="score")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
