@@ -40,34 +40,35 @@ from .common import fresh, materialize, partitions, scratch_dir
 from .fim import _slices
 from .resampling import _large
 
-#: Bytes whose hashes are held at a time, and of a chunk.
-SLICE_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
-_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+#: Bytes whose hashes are held at a time, bytes of a chunk, and suffixes that are sorted at a time.
+SLICE_BYTES, CHUNK_BYTES, SORT_ROWS = 1 << 18, 8 << 20, 100_000
+_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x *= _M[4]
+    """``x``, changed in place, so that all its bits depend on all."""
+    x ^= x >> np.uint64(32)
+    x *= _M[2]
     x ^= x >> np.uint64(29)
-    x *= _M[5]
-    return x ^ (x >> np.uint64(32))
+    x *= _M[3]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes from each place: sums of doubled lengths, mixed."""
-    part, parts, size = data.astype(np.uint64), {}, 1
-    while size <= gram:
-        parts[size] = part
-        if 2 * size > gram:
-            break
-        part = part[:-size] * _M[size.bit_length() % 4] + part[size:]
-        size *= 2
-    n, out, at = len(data) - gram + 1, None, 0
-    for size in sorted(parts, reverse=True):
-        if gram & size:
-            out = parts[size][at : at + n].copy() if out is None else out * _M[0] + parts[size][at : at + n]
-            at += size
-    return _mixed(out)
+    """Hash of the ``gram`` bytes from each place, read eight at a time; the last eight may overlap those before."""
+    n = len(data) - gram + 1
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
+    if gram < 8:
+        return _mixed((eight[:n] & np.uint64((1 << 8 * gram) - 1)) * _M[0])
+    out = eight[:n] * _M[0]
+    for at in sorted({*range(8, gram - 7, 8), gram - 8} - {0}):
+        out ^= out >> np.uint64(32)
+        out += eight[at : at + n]
+        out *= _M[1]
+    out ^= out >> np.uint64(32)
+    return out
 
 
 @dataclass
@@ -207,8 +208,11 @@ class Suffixes:
     row: np.ndarray
 
 
-def suffixes(a: Anchors, data: np.ndarray, keys: np.ndarray, buckets: int, merge_buckets: int, length: int, gram: int) -> Suffixes:
-    """Sorted, collapsed suffixes of the anchors with one of ``keys`` (complemented: hot, so that each window goes alone)."""
+def suffixes(a: Anchors, data: np.ndarray, keys: np.ndarray, buckets: int, merge_buckets: int, length: int, gram: int) -> Iterator[Suffixes]:
+    """Sorted, collapsed suffixes of the anchors with one of ``keys`` (complemented: hot, so that each window goes alone).
+
+    They come in parts of whole buckets with about ``SORT_ROWS`` occurrences each, so that memory does not depend on how much is shared.
+    """
     wide, own = length - gram + 1, _key(a.hash, buckets)
     calm, hot = np.isin(own, keys[keys >= 0]), np.isin(own, ~keys[keys < 0])
     place, first, windows, row, hashes = (x[calm] for x in (a.place, a.first, a.windows, a.row, a.hash))
@@ -217,22 +221,27 @@ def suffixes(a: Anchors, data: np.ndarray, keys: np.ndarray, buckets: int, merge
         single = np.repeat(a.first[hot] - np.r_[0, np.cumsum(number)[:-1]], number) + np.arange(number.sum())
         view = np.lib.stride_tricks.sliding_window_view(data, length)
         odd = np.random.default_rng(1).integers(0, 1 << 63, length, np.uint64) * np.uint64(2) + np.uint64(1)
-        said = np.concatenate([_mixed((view[single[k : k + 65536]].astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64)) for k in range(0, len(single), 65536)])
+        said = np.concatenate([_mixed((view[single[k : k + 8192]] * odd).sum(axis=1, dtype=np.uint64)) for k in range(0, len(single), 8192)])
         place, first, windows = np.r_[place, single], np.r_[first, single], np.r_[windows, np.ones(len(single), np.int64)]
         row, hashes = np.r_[row, np.repeat(a.row[hot], number)], np.r_[hashes, said]
-    right_size, left_size = first + windows - 1 + length - place, place - first
-    ahead = np.r_[data, np.zeros(length, np.uint8)]
-    behind = np.r_[np.zeros(wide, np.uint8), data]
-    width = lambda n: -(-n // 8) * 8
-    right = _padded(np.lib.stride_tricks.sliding_window_view(ahead, length)[place], right_size, width(length))
-    left = _padded(np.lib.stride_tricks.sliding_window_view(behind, wide)[place][:, ::-1], left_size, width(wide))
     bucket = ((hashes >> np.uint64(17)) % np.uint64(merge_buckets)).astype(np.int64)
-    columns = [bucket, *_words(right), right_size, *_words(left), left_size]
-    order = np.lexsort((first, *columns[::-1]))
-    begin = _groups(*(c[order] for c in columns))
-    element = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
-    once = order[begin]
-    return Suffixes(bucket[once], right[once], right_size[once], left[once], left_size[once], element, begin, first[order], row[order])
+    ahead = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(length, np.uint8)], length)
+    behind = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(wide, np.uint8), data], wide)
+    width = lambda n: -(-n // 8) * 8
+    parts = min(merge_buckets, -(-len(bucket) // SORT_ROWS))
+    part = bucket * parts // merge_buckets
+    for p in range(parts):
+        some = np.flatnonzero(part == p)
+        at, begins, rows, own_bucket = place[some], first[some], row[some], bucket[some]
+        right_size, left_size = begins + windows[some] - 1 + length - at, at - begins
+        right = _padded(ahead[at], right_size, width(length))
+        left = _padded(behind[at][:, ::-1], left_size, width(wide))
+        columns = [own_bucket, *_words(right), right_size, *_words(left), left_size]
+        order = np.lexsort((begins, *columns[::-1]))
+        begin = _groups(*(c[order] for c in columns))
+        element = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+        once = order[begin]
+        yield Suffixes(own_bucket[once], right[once], right_size[once], left[once], left_size[once], element, begin, begins[order], rows[order])
 
 
 def _front_coded(uid: int, s: Suffixes, ids: np.ndarray) -> pa.Table:
@@ -315,13 +324,15 @@ def merge_runs(runs: list[list[bytes]], shared: list[bytes]) -> tuple[list[int],
             head[best], known[best] = runs[best][at[best]], shared[best][at[best]]
         else:
             known[best] = -1
-        node = (best + count) // 2
+        node, own = (best + count) // 2, known[best]
         while node:
             other = loser[node]
-            if known[best] > known[other]:  # the common case, without a call
-                pass
-            else:
+            its = known[other]
+            if own < its:
+                loser[node], best, own = best, other, its
+            elif own == its:
                 best, loser[node] = play(best, other)
+                own = known[best]
             node //= 2
     return order, prefix
 
@@ -377,10 +388,17 @@ def _answer_least(table: pa.Table, length: int, gram: int) -> pa.Table:
     })
 
 
-def _removed(s: Suffixes, answers: pa.Table, ids: np.ndarray, total: int, length: int) -> np.ndarray:
-    """Which bytes of a chunk go."""
-    (element, part), (window, _), (number, _), (least, _) = (_flat(answers.column(c)) for c in ("element", "window", "number", "least"))
-    bucket = answers.column("bucket").to_numpy()[part] if len(part) else part
+def _told(answers: pa.Table) -> list[np.ndarray]:
+    """Element, window, number, least id and bucket of each stretch of windows."""
+    (element, part), *others = (_flat(answers.column(c)) for c in ("element", "window", "number", "least"))
+    return [element, *(x for x, _ in others), answers.column("bucket").to_numpy()[part] if len(part) else part]
+
+
+def _doomed(s: Suffixes, told: list[np.ndarray], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of windows to remove begin and end, for the buckets of ``s``."""
+    element, window, number, least, bucket = told
+    own = np.isin(bucket, s.bucket[_groups(s.bucket)])
+    element, window, number, least, bucket = (x[own] for x in (element, window, number, least, bucket))
     element = element + np.searchsorted(s.bucket, bucket, side="left")
     begin, end = s.begin, np.r_[s.begin[1:], len(s.element)]
     times = (end - begin)[element] if len(element) else element
@@ -389,11 +407,10 @@ def _removed(s: Suffixes, answers: pa.Table, ids: np.ndarray, total: int, length
     later = ids[s.row[occurrence]] > least[piece]
     piece, occurrence = piece[later], occurrence[later]
     start = s.first[occurrence] + window[piece]
-    edges = np.bincount(start, minlength=total + 1) - np.bincount(start + number[piece] - 1 + length, minlength=total + 1)
-    return np.cumsum(edges)[:total] > 0
+    return start, start + number[piece] - 1 + length
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = 1_000_000) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that stay) and ``spans`` (the removed runs as byte ranges, end exclusive), under other names where taken.
 
     A byte of the UTF-8 text goes if it lies in a string of ``length`` bytes that also begins in a row with a smaller
@@ -436,10 +453,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
         return _flat(answers.column("keys"))[0].astype(np.int64)
 
     def sort(left: pa.Table, right: pa.Table) -> pa.Table:
+        nothing = pa.table({c: pa.array([], t) for c, t in (("bucket", pa.int32()), ("uid", pa.int64()), *((x, pa.binary()) for x in ("shared", "size", "rest", "before_size", "before")), ("least", pa.list_(pa.int64())), ("most", pa.list_(pa.int64())))})
         if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("bucket", pa.int32()), ("uid", pa.int64()), *((x, pa.binary()) for x in ("shared", "size", "rest", "before_size", "before")), ("least", pa.list_(pa.int64())), ("most", pa.list_(pa.int64())))})
+            return nothing
         number, _, ids, a, _, data = chunk(left)
-        return _front_coded(number, suffixes(a, data, known(right), buckets, merge_buckets, length, gram), ids)
+        parts = [_front_coded(number, s, ids) for s in suffixes(a, data, known(right), buckets, merge_buckets, length, gram)]
+        return pa.concat_tables(parts) if parts else nothing
 
     runs = source.groupBy(uid).cogroup(shared.groupBy("uid")).applyInArrow(sort, "bucket int, uid long, shared binary, size binary, rest binary, before_size binary, before binary, least array<long>, most array<long>")
     answers = materialize(runs.groupBy("bucket").applyInArrow(lambda t: _answer_least(t, length, gram), "uid long, keys array<long>, bucket int, element array<long>, window array<long>, number array<long>, least array<long>"))
@@ -450,7 +469,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: st
         gone = np.zeros(len(data), bool)
         told = right.filter(pc.is_valid(right.column("bucket")))
         if told.num_rows:
-            gone = _removed(suffixes(a, data, known(right), buckets, merge_buckets, length, gram), told, ids, len(data), length)
+            found, stretches = _told(told), []
+            for s in suffixes(a, data, known(right), buckets, merge_buckets, length, gram):
+                stretches.append(_doomed(s, found, ids, length))
+            edges = np.zeros(len(data) + 1, np.int32)
+            for start, end in stretches:
+                np.add.at(edges, start, 1)
+                np.add.at(edges, end, -1)
+            gone = np.cumsum(edges, dtype=np.int32)[:-1] > 0
         # Edges of removed runs, none of which crosses the end of a text.
         starts_row = np.zeros(len(data) + 1, bool)
         starts_row[offsets] = True
