@@ -10,8 +10,11 @@ wire form of a record is a column expression too.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ PIECE = r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]
 NAMES = dict(sorted((("&" + k, v) for k, v in html5.items() if k.endswith(";")), key=lambda x: (x[1] not in "&<>\"'\xa0", max(map(ord, x[1])), x[0])))
 #: What numbers from 128 to 159 stand for: the characters of Windows-1252, where it has them.
 C1 = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]{1,15})[ \t]*\r?$")
 BLANKS = "[ \\t\\r\\f ]+"
 
 
@@ -57,11 +61,14 @@ def _character(code: Column) -> Column:
 
 def _unescape(x: Column) -> Column:
     """Character references read once: every name of HTML and all numbers, if a semicolon ends them; others stay, control characters too."""
-    names = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in NAMES.items())), F.lit("\x02"), F.lit("\x01"))
+    # A map for each first letter, found by its place: a map is searched from its beginning.
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    said = lambda first: "\x02".join(f"{k}\x01{v}" for k, v in NAMES.items() if k[1] == first)
+    maps = F.array(*(F.str_to_map(F.lit(said(x)), F.lit("\x02"), F.lit("\x01")) for x in letters))
 
     def read(piece):
         number = F.when(F.substring(piece, 3, 1).isin("x", "X"), F.conv(F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(piece, "^&#([0-9]+)", 1))
-        decoded = F.when(piece.startswith("&#"), _character(number.cast("long"))).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+        decoded = F.when(piece.startswith("&#"), _character(number.cast("long"))).otherwise(F.coalesce(F.try_element_at(F.get(maps, F.instr(F.lit(letters), F.substring(piece, 2, 1)) - 1), piece), piece))
         return F.when(piece.startswith("&") & (F.length(piece) > 1), decoded).otherwise(piece)
 
     return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(PIECE), F.lit(0)), read), "")
@@ -117,18 +124,24 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Metadata and conversion records of the responses among ``records`` (other types are passed over).
+    """Metadata and conversion records of the responses among ``records``, be they made by :func:`responses` or read by :func:`read_files`.
 
     Each has ``refers_to`` = the response's record id, its target and date, its
     HTTP status line and headers (in the metadata block) and the digest of its
-    payload, next to digests of its own block. Repeated responses give repeated
-    derivatives; a block without a blank line is taken as headers only.
+    payload as the source states it (else it is computed), next to digests of its own block; ``page_id`` comes along where
+    there is one. Records of other types are passed over, and so are those that are not ``whole``. Repeated responses give repeated
+    derivatives; a block without a blank line is taken as headers only, a null block as empty.
     """
-    cut = F.instr("block", CRLF + CRLF)
-    found = records.where(F.col("warc_type") == "response").select(
-        "page_id", "record_id", "target_uri", "date", "payload_digest",
-        F.when(cut > 0, F.substring("block", F.lit(1), cut - 1)).otherwise(F.col("block")).alias("head"),
-        F.when(cut > 0, F.substring("block", cut + 4, F.length("block"))).otherwise(F.lit("")).alias("body"),
+    page = ["page_id"] if "page_id" in records.columns else []
+    block = F.coalesce("block", F.lit(""))
+    cut = F.instr(block, CRLF + CRLF)
+    sound = F.col("warc_type") == "response"
+    if "whole" in records.columns:
+        sound = sound & F.col("whole")
+    body = F.when(cut > 0, F.substring(block, cut + 4, F.length(block))).otherwise(F.lit(""))
+    found = records.where(sound).select(
+        *page, "record_id", "target_uri", "date", F.coalesce("payload_digest", _sha(body)).alias("payload_digest"),
+        F.when(cut > 0, F.substring(block, F.lit(1), cut - 1)).otherwise(block).alias("head"), body.alias("body"),
     )
     title = F.replace(_squeeze(_unescape(F.regexp_extract("body", TITLE, 1))), F.lit("\n"), F.lit(" "))
     language = F.regexp_extract("body", LANGUAGE, 1)
@@ -138,12 +151,12 @@ def derive(records: DataFrame) -> DataFrame:
         F.lit("title: "), title, F.lit(CRLF), F.lit("language: "), language, F.lit(CRLF),
         F.array_join(F.transform(_links(F.col("body")), lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""),
     )
-    made = found.select("page_id", "record_id", "target_uri", "date", F.explode(F.array(
+    made = found.select(*page, "record_id", "target_uri", "date", F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), html_text(F.col("body")).alias("block")),
-    )).alias("r"), "payload_digest").select("page_id", "record_id", "target_uri", "date", "payload_digest", "r.*")
+    )).alias("r"), "payload_digest").select(*page, "record_id", "target_uri", "date", "payload_digest", "r.*")
     own = _id(F.col("warc_type"), F.col("record_id"), F.sha2("block", 256))
-    return made.select("page_id", "warc_type", own.alias("new_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "content_type", F.octet_length("block").cast("long").alias("content_length"), _sha(F.col("block")).alias("block_digest"), "payload_digest", "block").withColumnRenamed("new_id", "record_id")
+    return made.select(*page, "warc_type", own.alias("new_id"), F.col("record_id").alias("refers_to"), "target_uri", "date", "content_type", F.octet_length("block").cast("long").alias("content_length"), _sha(F.col("block")).alias("block_digest"), "payload_digest", "block").withColumnRenamed("new_id", "record_id")
 
 
 def wire(records: DataFrame) -> DataFrame:
@@ -184,17 +197,66 @@ def write_files(records: DataFrame, path: str, compression: str = "none") -> Non
     wire(records).select(F.concat("headers", F.lit(CRLF), "block", F.lit(CRLF)).alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def _rejoined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a split, in order; those that the version line within a block cut off are put back, as the record's length says."""
+    seam = (VERSION + CRLF).encode()
+
+    def lacks(piece: bytes) -> int:
+        """Bytes that the record which begins with ``piece`` still needs, 0 if it is whole or has no length."""
+        end = piece.find(b"\r\n\r\n")
+        stated = _LENGTH.search(piece, 0, end + 2) if end >= 0 else None
+        needs = int(stated[1]) + end + 8 - len(piece) if stated else 0
+        return needs if 0 < needs <= most else 0
+
+    def settled(held: list[bytes]) -> Iterator[bytes]:
+        """Records of pieces that did not make up the one they began with."""
+        at = 0
+        while at < len(held):
+            needs, upto = lacks(held[at]), at + 1
+            while upto < len(held) and needs > 0:
+                needs -= len(seam) + len(held[upto])
+                upto += 1
+            upto = at + 1 if needs else upto
+            yield seam.join(held[at:upto])
+            at = upto
+
+    where, held, needs = None, [], 0
+    for batch in batches:
+        out: list[bytes] = []
+        for piece, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != where:
+                out += settled(held)
+                where, held, needs = at, [], 0
+            if held:
+                held.append(piece)
+                needs -= len(seam) + len(piece)
+            else:
+                held, needs = [piece], lacks(piece)
+            if needs == 0:
+                out.append(seam.join(held))
+                held = []
+            elif needs < 0:
+                first, *rest = held
+                out.append(first)
+                out += settled(rest)
+                held = []
+        yield pa.record_batch([pa.array(out, pa.binary())], names=["piece"])
+    yield pa.record_batch([pa.array(list(settled(held)), pa.binary())], names=["piece"])
+
+
+def read_files(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
     """Records of WARC files of UTF-8 blocks: ``warc_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, block, whole``.
 
-    Files are split at the version line, so large ones are read by many tasks. A header
+    Files are split at the version line, so large ones are read by many tasks; a block that holds the version line itself
+    is put together again by its Content-Length, within its split and up to ``most_bytes``. A header
     that a record lacks is null. ``whole`` is false where a record's length is not the stated one:
-    its block is damaged, or holds the version line itself and was cut there. Record heads
+    it is damaged, or was cut by the end of a split right at a version line inside. Record heads
     are read with names in any case; an empty folder gives no rows.
     """
-    pieces = spark.read.option("lineSep", VERSION + CRLF).text(path).where(F.length("value") > 0)
+    pieces = spark.read.option("lineSep", VERSION + CRLF).text(path).select(F.col("value").cast("binary").alias("piece"), "_metadata.file_path", "_metadata.file_block_start")
+    joined = pieces.mapInArrow(lambda batches: _rejoined(batches, most_bytes), "piece binary").select(F.col("piece").cast("string").alias("value")).where(F.length("value") > 0)
     cut = F.instr("value", CRLF + CRLF)
-    parts = pieces.select(F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring("value", cut + 4, F.length("value")).alias("rest")).where(F.col("head") != "")
+    parts = joined.select(F.substring("value", F.lit(1), cut + 1).alias("head"), F.substring("value", cut + 4, F.length("value")).alias("rest")).where(F.col("head") != "")
     header = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
     size = header("Content-Length").cast("long")
     return parts.select(
@@ -204,6 +266,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def convert_files(spark: SparkSession, source: str, target: str, compression: str = "none") -> None:
+    """WARC files in, WARC files of the derivatives of their responses out."""
+    write_files(derive(read_files(spark, source)), target, compression)
+
+
 def op9_warc(pages: DataFrame) -> DataFrame:
     """Derivatives of all ``pages`` with their headers; null pages and urls as in ``responses``, repeated pages give repeated records."""
     made = wire(derive(responses(pages)))
