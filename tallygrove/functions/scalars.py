@@ -90,6 +90,25 @@ def bin_index(x: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= x))
 
 
+def bisect(steps: Column, x: Column) -> Column:
+    """Number of the ascending ``steps`` at or below ``x``, by halving."""
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.get(steps, middle) > x
+        step = F.struct(F.when(above, s["low"]).otherwise(middle + 1).alias("low"), F.when(above, middle).otherwise(s["high"]).alias("high"))
+        return F.when(s["low"] < s["high"], step).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("low"), F.size(steps).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, half)["low"]
+
+
+def hashed_vector(terms: Column, size: int, seed: str) -> Column:
+    """Counts of terms by hash: a vector of ``size`` numbers that stands in for an encoder's."""
+    slots = F.transform(terms, lambda t: F.pmod(hash_int(seed, t), F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_int
+from ..functions.scalars import bisect, hash_int
 from . import order
 
 
@@ -61,32 +61,101 @@ def best_subset(items: DataFrame, key: str, item: str, length: str, target: Data
     return met.groupBy(key).agg(F.min(F.struct("off", "s", "total", "n")).alias("b")).select(key, "b.s", "b.total", "b.off", "b.n")
 
 
-def swap_search(items: DataFrame, key: str, item: str, length: str, target: str, count: int, starts: int = 256, swaps: int = 2048, seed: int = 42) -> DataFrame:
-    """For each key a set of ``count`` items whose length comes near the target: random sets, then swaps that lessen the error.
+def packed(lengths, parents, shared, chosen) -> int:
+    """Length of the ``chosen`` items (ascending places): of each parent's items, all but the first leave out their shared wording."""
+    import numpy as np
 
-    A local search has no relational form: one Arrow batch per key, whose items are one person's.
+    _, first = np.unique(parents[chosen], return_index=True)
+    later = np.ones(len(chosen), bool)
+    later[first] = False
+    return int(lengths[chosen].sum() - shared[chosen][later].sum())
+
+
+def near_length(lengths, parents, shared, target: int, count: int, seed, starts: int = 256, swaps: int = 2048):
+    """Places of ``count`` items whose packed length comes near ``target``: the best of ``starts`` random sets, then random swaps that do not worsen it.
+
+    Lengths alone decide, never what the items say. Everything if there are no more than ``count``.
+    """
+    import numpy as np
+
+    n = len(lengths)
+    if count >= n or count == 0:
+        return np.arange(min(n, count))
+    rng, best, error = np.random.default_rng(seed), None, None
+    for _ in range(starts):
+        chosen = np.sort(rng.choice(n, count, replace=False))
+        off = abs(packed(lengths, parents, shared, chosen) - target)
+        if error is None or off < error:
+            best, error = chosen, off
+        if not error:
+            return best
+    for slot, other in zip(rng.integers(0, count, swaps), rng.integers(0, n, swaps), strict=True):
+        if (best == other).any():
+            continue
+        trial = best.copy()
+        trial[slot] = other
+        trial.sort()
+        off = abs(packed(lengths, parents, shared, trial) - target)
+        if off <= error:
+            best, error = trial, off
+        if not error:
+            break
+    return best
+
+
+def length_matched(items: DataFrame, by: list[str], item: str, length: str, actual: str, parent: str, shared: str, chosen: str, seed: int = 42, tries: int = 8, within: float = 0.02) -> DataFrame:
+    """``(by, item, tries, off)``: for each ``by`` as many items as are marked ``chosen``, of about the same length, drawn without looking at them.
+
+    Sets are sought by estimated ``length`` (see :func:`near_length`), but judged by ``actual``; the sought target is moved by what the
+    last set missed, at most ``tries`` times, until the actual packed lengths differ by ``within`` of the chosen ones' or less. ``tries``
+    says how many were needed, ``off`` the relative difference of the best set. The search has no relational form:
+    one Arrow batch of numbers for each ``by``, whose items are one person's. A ``by`` without chosen items has no row.
     """
     import pandas as pd
 
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+
     def search(frame: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
         import numpy as np
 
         frame = frame.sort_values(item, kind="stable").reset_index(drop=True)
-        rng, lengths, goal = np.random.default_rng([seed, len(frame)]), frame[length].to_numpy(), float(frame[target].iloc[0])
-        k = min(count, len(frame))
-        best = min((rng.choice(len(frame), k, replace=False) for _ in range(starts)), key=lambda s: abs(lengths[s].sum() - goal))
-        inside = np.zeros(len(frame), bool)
-        inside[best] = True
-        total = lengths[inside].sum()
-        for _ in range(swaps if 0 < k < len(frame) else 0):
-            a, b = rng.choice(np.flatnonzero(inside)), rng.choice(np.flatnonzero(~inside))
-            after = total - lengths[a] + lengths[b]
-            if abs(after - goal) < abs(total - goal):
-                inside[a], inside[b], total = False, True, after
-        return pd.DataFrame({key: frame.loc[inside, key], item: frame.loc[inside, item], "total": int(total)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.groupBy(key).applyInPandas(search, f"{key} {kinds[key]}, {item} {kinds[item]}, total long")
+        lengths, real, wording = (frame[c].to_numpy(np.int64) for c in (length, actual, shared))
+        parents = np.unique(frame[parent].astype(str).to_numpy(), return_inverse=True)[1]
+        wanted = np.flatnonzero(frame[chosen].to_numpy(bool))
+        key = zlib.crc32("|".join(str(frame[c].iloc[0]) for c in by).encode())
+        goal, sought, best, used = packed(real, parents, wording, wanted), packed(lengths, parents, wording, wanted), None, 0
+        error = lambda s: abs(packed(real, parents, wording, s) - goal)
+        for turn in range(tries + 1):
+            trial = near_length(lengths, parents, wording, sought, len(wanted), [seed, key, turn])
+            if best is None or error(trial) < error(best):
+                best = trial
+            used = turn
+            if error(best) <= within * max(1, goal) or len(wanted) in (0, len(frame)):
+                break
+            sought += goal - packed(real, parents, wording, trial)
+        out = frame.loc[best, [*by, item]].copy()
+        out["tries"], out["off"] = used, error(best) / max(1, goal)
+        return out
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*by, item]), "tries long, off double"])
+    return items.groupBy(*by).applyInPandas(search, schema)
+
+
+def weighted_choice(rows: DataFrame, by: list[str], choice: str, weight: str, draws: DataFrame, uniform) -> DataFrame:
+    """``draws`` with ``choice``: one of their ``by``'s choices, in proportion to its weight.
+
+    ``uniform`` is a column of whole numbers that is spread evenly modulo any total. Weights are summed by choice, run up
+    in order of the choice, and kept as one array per ``by``, in which each draw finds its place by bisection. A
+    choice without weight is never taken; draws whose ``by`` has no choice go.
+    """
+    sums = rows.groupBy(*by, F.col(choice).alias("_c")).agg(F.sum(weight).cast("long").alias("_w")).where("_w > 0")
+    upto = F.sum("_w").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ladders = sums.withColumn("_upto", upto).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_upto", "_c"))).alias("_ladder"), F.sum("_w").alias("_total"))
+    met = draws.join(ladders, by).withColumn("_at", F.pmod(uniform, F.col("_total")))
+    rung = bisect(F.transform("_ladder", lambda r: r["_upto"]), F.col("_at"))
+    return met.withColumn(choice, F.get("_ladder", rung)["_c"]).drop("_ladder", "_total", "_at")
 
 
 def predict_batches(rows: DataFrame, predict, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Queries over the tables, each with its SQL twin."""
 
-from . import joins, retrieval, scalars, statistics  # noqa: F401
+from . import histories, joins, retrieval, scalars, statistics  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

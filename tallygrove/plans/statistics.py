@@ -322,6 +322,21 @@ def balanced_schedule(spark, sf):
     return got.withColumn("round", F.col("round").cast("long"))
 
 
+@query(f"""WITH e AS (SELECT user_id, event_type, json_extract_string(props, '$.k')::BIGINT AS question FROM events), p AS (SELECT DISTINCT user_id FROM events), t AS (SELECT DISTINCT event_type FROM events), k AS (SELECT count(*) AS k FROM t),
+r AS (SELECT user_id, round, round // k AS cycle, round % k + 1 AS place FROM p, k, (SELECT unnest(range(12)) AS round)),
+d AS (SELECT user_id, cycle, event_type, row_number() OVER (PARTITION BY user_id, cycle ORDER BY {h("'turn|' || user_id || '|' || cycle || '|' || event_type")}, event_type) AS place FROM (SELECT DISTINCT user_id, cycle FROM r), t),
+s AS (SELECT user_id, round, event_type FROM r JOIN d USING (user_id, cycle, place)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY user_id, event_type ORDER BY question) AS upto, sum(n) OVER (PARTITION BY user_id, event_type) AS total FROM (SELECT user_id, event_type, question, count(*) AS n FROM e WHERE question IS NOT NULL GROUP BY ALL))
+SELECT s.user_id, s.round::BIGINT AS round, s.event_type, question FROM s JOIN c ON s.user_id = c.user_id AND s.event_type = c.event_type AND {h("'question|' || s.user_id || '|' || s.round")} % total >= upto - n AND {h("'question|' || s.user_id || '|' || s.round")} % total < upto""")
+def weighted_schedule(spark, sf):
+    """The balanced schedule with a question each, drawn in proportion to the person's responses to it."""
+    events = table(spark, sf, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("question"))
+    turns = resample.schedule(events.select("user_id").distinct(), events.select("event_type").distinct(), "user_id", "event_type", 12, "turn")
+    rows = events.where("question is not null").withColumn("one", F.lit(1))
+    got = resample.weighted_choice(rows, ["user_id", "event_type"], "question", "one", turns, hash_int("question", F.col("user_id"), F.col("round")))
+    return got.select("user_id", F.col("round").cast("long").alias("round"), "event_type", "question")
+
+
 _SUBSETS = f"""drawn AS (SELECT source, s, sum(n_chars) AS total, count(*) AS n FROM documents, (SELECT unnest(range(16)) AS s) WHERE {h("'subset|' || s || '|' || doc_id")} % 2 = 0 GROUP BY 1, 2), target AS (SELECT source, sum(n_chars) // 2 AS target FROM documents GROUP BY 1)"""
 
 

@@ -1,6 +1,7 @@
 """Hand examples and the rules that scoring, matching and resampling must keep."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,10 +142,84 @@ def test_schedule_is_balanced(spark):
     assert len(got) == 48 and (got.groupby(["p", "t"]).size() == 2).all() and (got.groupby("round").p.nunique() == 6).all()
 
 
-def test_swap_search_comes_near(spark):
-    items = spark.range(60).select(F.lit("a").alias("k"), F.col("id").alias("i"), (F.col("id") * 7 % 31 + 5).alias("n"), F.lit(200).alias("goal"))
-    got = resample.swap_search(items, "k", "i", "n", "goal", 10, starts=16, swaps=200).toPandas()
-    assert len(got) == 10 and got.i.nunique() == 10 and abs(got.total.iloc[0] - 200) <= 2
+def test_matched_sets_have_the_count_and_the_length(spark):
+    """Short rows of a few parents, which share much of their wording, beside long single items."""
+    rng = random.Random(3)
+    rows = [(p, i, rng.choice([3, 5, 40, 90]), i // 4, 2 + i % 2, i % 9 == p % 9) for p in range(12) for i in range(60)] + [(50, i, 7, i, 0, True) for i in range(3)] + [(51, 0, 5, 0, 0, False)]
+    items = spark.createDataFrame(rows, "p int, i int, n int, parent int, shared int, chosen boolean").withColumn("real", F.col("n") + F.pmod("i", F.lit(3)))
+    args = (["p"], "i", "n", "real", "parent", "shared", "chosen")
+    got, again = (resample.length_matched(x, *args).toPandas() for x in (items, items.repartition(7)))
+    assert sorted(got.itertuples(index=False)) == sorted(again.itertuples(index=False)) and set(got.p) == {*range(12), 50}
+
+    def length(some):
+        seen, total = set(), 0
+        for x in sorted(some):
+            n, parent, shared = next((r[2] + r[1] % 3, r[3], r[4]) for r in rows if r[:2] == x)
+            total += n - (shared if parent in seen else 0)
+            seen.add(parent)
+        return total
+
+    for p, mine in got.groupby("p"):
+        wanted = [r[:2] for r in rows if r[0] == p and r[5]]
+        assert len(mine) == mine.i.nunique() == len(wanted)
+        off = abs(length((p, i) for i in mine.i) - length(wanted)) / length(wanted)
+        assert off == pytest.approx(mine.off.iloc[0]) and (off <= 0.02 or mine.tries.iloc[0] == 8)
+    assert (got.off <= 0.02).mean() > 0.9 and (got[got.p < 12].groupby("p").i.apply(set) != items.where("chosen and p < 12").toPandas().groupby("p").i.apply(set)).any()
+
+
+def test_the_target_moves_when_estimates_are_wrong(spark):
+    """Estimates that say nothing of the actual lengths: sets are judged by the latter, at most eight more tries."""
+    items = spark.range(80).select(F.lit(1).alias("p"), F.col("id").alias("i"), F.lit(10).alias("n"), (F.pmod(F.col("id") * 37, F.lit(101)) + 1).alias("real"), F.col("id").alias("parent"), F.lit(0).alias("shared"), (F.col("id") < 6).alias("chosen"))
+    got = resample.length_matched(items, ["p"], "i", "n", "real", "parent", "shared", "chosen", within=0.0).toPandas()
+    assert len(got) == 6 and (got.tries == 8).all() and got.off.iloc[0] < 0.2
+
+
+def test_choices_come_in_proportion(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 4), ("a", "z", 3), ("a", "none", 0), ("b", "only", 5)], "g string, c string, w int")
+    draws = spark.range(1000).select(F.when(F.col("id") % 10 == 0, "b").when(F.col("id") % 10 == 1, "absent").otherwise("a").alias("g"), "id")
+    got = resample.weighted_choice(rows, ["g"], "c", "w", draws, F.expr("id div 10")).groupBy("g", "c").count().collect()
+    assert {(r.g, r.c): r["count"] for r in got} == {("a", "x"): 80, ("a", "y"): 480, ("a", "z"): 240, ("b", "only"): 100}
+
+
+def test_bisect(spark):
+    from tallygrove.functions.scalars import bisect
+
+    rng = random.Random(1)
+    rows = [(sorted(rng.randrange(20) for _ in range(rng.randrange(9))), x) for x in range(-1, 22) for _ in range(4)]
+    import bisect as plain
+
+    got = spark.createDataFrame(rows, "s array<int>, x int").select("s", "x", bisect(F.col("s"), F.col("x")).alias("k")).collect()
+    assert all(r.k == plain.bisect_right(r.s, r.x) for r in got)
+
+
+def test_ranking_stays_within_a_person(spark):
+    """Another person's items change nothing; items without a shared term have score 0."""
+    items = [("p", 1, "the cat sat"), ("p", 2, "a cat and a cat"), ("p", 3, None), ("p", 4, "dogs"), ("q", 1, "cat " * 50), ("q", 2, "the the"), ("r", 1, "cat")]
+    asked = spark.createDataFrame([("p", 9, "Cat, the cat?"), ("q", 9, "the"), ("z", 9, "cat")], "p string, q int, t string")
+    run = lambda rows: sorted((r.p, r.i, r.score) for r in retrieve.within(asked, spark.createDataFrame(rows, "p string, i int, t string"), "p", "q", "i", "t").collect())
+    whole = run(items)
+    assert [x for x in whole if x[0] == "p"] == run([x for x in items if x[0] == "p"]) and {x[:2] for x in whole} == {(p, i) for p, i, _ in items if p != "r"}
+    score = {x[:2]: x[2] for x in whole}
+    assert score["p", 4] == score["p", 3] == 0 and score["p", 1] > score["p", 2] > 0
+
+    def plain(query, docs):
+        n, avg = len(docs), max(sum(map(len, docs)) / len(docs), 1)
+        idf = lambda t: math.log(1 + (n - sum(t in d for d in docs) + 0.5) / (sum(t in d for d in docs) + 0.5))
+        return [sum(idf(t) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in query) for d in docs]
+
+    want = plain({"cat", "the"}, [["the", "cat", "sat"], ["a", "cat", "and", "a", "cat"], [], ["dogs"]])
+    assert [score["p", i] for i in (1, 2, 3, 4)] == pytest.approx(want)
+
+
+def test_assembly_fails_rather_than_cuts_or_leaks(spark):
+    items = spark.createDataFrame([(1, 0, "name"), (1, 1, "x"), (1, 2, "y"), (2, 0, "n2")], "p int, i int, t string")
+    order = retrieve.source_order(spark.createDataFrame([(1, 2), (1, 1)], "p int, i int"), spark.createDataFrame([(1, 0), (1, 2), (2, 0)], "p int, i int"), ["p"], "i")
+    assert sorted(map(tuple, order.collect())) == [(1, 0, True, 1), (1, 1, False, 3), (1, 2, True, 2), (2, 0, True, 1)]
+    run = lambda most, target: {r.p: r.history for r in retrieve.assemble(order, items, ["p"], "i", "t", "place", most, spark.createDataFrame([(1, target)], "p int, t string")).collect()}
+    assert run(100, "z") == {1: "name\ny\nx", 2: "n2"}
+    for most, target, said in ((5, "z", "longer"), (100, "y", "target")):
+        with pytest.raises(Exception, match=said):
+            run(most, target)
 
 
 def test_predictor_adapter(spark):
