@@ -300,3 +300,29 @@ def test_two_best_cells_share_places_by_shown_score(spark):
     got = {(r.metric, r.name): (r.place, r.mark) for r in rank.two_best(cells, ["name"], {"up": True, "down": False}, F.col("name") != "d").collect()}
     assert got[("up", "a")] == got[("up", "b")] == (1, "best") and got[("up", "c")] == (2, "second") and got[("up", "d")] == (0, None)
     assert got[("down", "b")] == (1, "best") and got[("down", "a")] == (2, "second") and got[("down", "c")] == got[("down", "d")] == (0, None)
+
+
+def test_documents_are_walked_as_text_or_parsed(spark):
+    text = '[{"BlockName": " one ", "Questions": [{"QuestionID": "a", "Answers": {"n": 1}}, {"QuestionID": "b", "Rows": ["x"]}]}, {"BlockName": "none"}, {"Questions": [{"QuestionID": 7}]}]'
+    got = nested.question_records(spark.createDataFrame([(1, text), (2, "[]")], "k int, d string"), ["k"], "d")
+    said = [(r.bi, r.qi, r.block_name, r.id, r.n) for r in got.select("*", nested.field("question", "QuestionID").alias("id"), nested.field("question", "Answers.n", "int").alias("n")).collect()]
+    assert said == [(0, 0, "one", "a", 1), (0, 1, "one", "b", None), (2, 0, "", "7", None)]
+    with pytest.raises(Exception):  # noqa: B017
+        nested.question_records(spark.createDataFrame([(1, '{"a":')], "k int, d string"), ["k"], "d").collect()
+
+
+def test_matrix_rows_and_what_does_not_fit(spark):
+    rows = [("s", ["a", "b"], ["x", "y"], ["1", "2"]), ("t", None, ["x", "y"], ["5"]), ("u", ["a"], ["x", "y"], ["1", "2"]), ("v", None, ["x"], ["1", "2"]), ("w", None, [], [])]
+    df = spark.createDataFrame(rows, "s string, ids array<string>, r array<string>, a array<string>")
+    got = sorted((r.path, r.row, r.answer, r.ambiguous) for r in nested.matrix_rows(df, "s", F.col("ids"), F.col("r"), F.col("a")).collect())
+    assert got == [("s/rowa", "x", "1", False), ("s/rowb", "y", "2", False), ("t/row1", "x", "5", False), ("t/row2", "y", "5", False), ("u", None, None, True), ("v", None, None, True), ("w", None, None, True)]
+
+
+def test_rows_merge_only_if_they_agree(spark):
+    rows = [(1, "q/row1", "a", 5), (2, "q/row2", "a", 6), (3, "q/row3", "b", 7), (4, "p", "a", 8), (5, "p", "a", 9), (6, "q/row1", "b", 1)]
+    df = spark.createDataFrame([("k", *r) for r in rows], "k string, n int, path string, s string, v int").repartition(3)
+    got = nested.merge_rows(df, ["k"], ["n"], "path", ["v"], ["s"], strict=False).orderBy("run").collect()
+    assert [(r.parent, r.clash, r.s, r.v) for r in got] == [("q", False, "a", [5, 6]), ("q", True, "b", [7]), ("p", False, "a", [8]), ("p", False, "a", [9]), ("q", False, "b", [1])]
+    with pytest.raises(Exception, match="rows disagree: q"):
+        nested.merge_rows(df, ["k"], ["n"], "path", ["v"], ["s"]).collect()
+    assert nested.merge_rows(df.where("n <> 3"), ["k"], ["n"], "path", ["v"], ["s"]).count() == 4
