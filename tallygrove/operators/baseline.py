@@ -29,6 +29,14 @@ def mode(train: DataFrame, item: str, code: str) -> DataFrame:
     return counts.groupBy(item).agg(F.max_by(code, F.struct("n", -F.col(code))).alias("mode"))
 
 
+def looked_up(rows: DataFrame, stats: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of the trained statistics; a row whose key has no training support makes the query fail when it is read."""
+    met = rows.join(stats.select(*keys, value, F.lit(True).alias("_known")), keys, "left")
+    kind = stats.schema[value].dataType
+    said = F.concat_ws("|", F.lit("no training support"), *(F.col(k).cast("string") for k in keys))
+    return met.withColumn(value, F.when(F.col("_known"), F.col(value)).otherwise(F.raise_error(said).cast(kind))).drop("_known")
+
+
 def median(train: DataFrame, item: str, value: str) -> DataFrame:
     return quantile.median(train, item, value)
 

@@ -32,6 +32,31 @@ def accepted(gain: Column, high: Column, least: float = 0.02) -> Column:
     return (gain >= least) & (high < 0)
 
 
+def metric_of(rules: dict[str, str], aliases: dict[str, str], purpose: str = "selection", default: str | None = None) -> str:
+    """The metric that a rule names. Each purpose may have a rule of its own, else that of ``selection`` holds, else ``default``; an unknown rule is an error."""
+    rule = rules.get(purpose, rules.get("selection", default))
+    if rule not in aliases:
+        raise ValueError(f"unknown selection rule: {rule}")
+    return aliases[rule]
+
+
+def guarded_best(outcomes: DataFrame, by: str, candidate: str, value: str, low: float = 0.0, high: float = 1.0, digits: int = 9) -> DataFrame:
+    """``(by, winner, score, challengers, floor, blocked)``: the best of the candidates whose outcomes are all there, and whether it may be taken.
+
+    A missing outcome (a null ``value``) lies between ``low`` and ``high``, so a candidate's mean lies between two bounds.
+    Those whose upper bound reaches the winner's score, ties included, are challengers: while there is one, the choice is blocked.
+    ``floor`` is the best lower bound of a challenger (null: none). Of equal scores the first candidate by name wins; without a complete candidate
+    there is no winner and the choice is blocked.
+    """
+    bound = lambda x: F.round(F.sum(F.coalesce(F.col(value), F.lit(x))) / F.count("*"), digits)
+    means = outcomes.groupBy(by, candidate).agg(F.count_if(F.col(value).isNull()).alias("_absent"), bound(low).alias("_low"), bound(high).alias("_high"))
+    whole = F.col("_absent") == 0
+    best = means.groupBy(by).agg(F.min(F.when(whole, F.struct((-F.col("_low")).alias("s"), F.col(candidate).alias("c")))).alias("_w"))
+    met = means.join(best, by).withColumn("_may", ~whole & F.coalesce(F.col("_high") >= -F.col("_w.s"), F.lit(True)))
+    out = met.groupBy(by).agg(F.first("_w").alias("_w"), F.count_if("_may").alias("challengers"), F.max(F.when(F.col("_may"), F.col("_low"))).alias("floor"))
+    return out.select(by, F.col("_w.c").alias("winner"), (-F.col("_w.s")).alias("score"), "challengers", "floor", (F.col("_w").isNull() | (F.col("challengers") > 0)).alias("blocked"))
+
+
 def loss(value: Column, larger_is_better: bool) -> Column:
     """What selection lessens; a value that is not finite is an error."""
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))

@@ -32,6 +32,14 @@ def bootstrap_macro(means: DataFrame, pid: str, group: str, draws: int, seed: st
     return per_draw.agg(F.avg("m").alias("center"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
+def bootstrap_groups(means: DataFrame, pid: str, group: str, draws: int, seed: str) -> DataFrame:
+    """``(group, mean, lo, hi, persons)``: an interval for each group's mean over persons, all from the same draws of persons, so groups can be compared."""
+    weights = draw_weights(means.select(pid).distinct(), pid, draws, seed)
+    drawn = means.join(weights, pid).groupBy("draw", group).agg((F.sum(F.col("times") * F.col("mean")) / F.sum("times")).alias("m"))
+    ends = drawn.groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    return means.groupBy(group).agg(F.avg("mean").alias("mean"), F.count("*").alias("persons")).join(ends, group).select(group, "mean", "lo", "hi", "persons")
+
+
 def split(people: DataFrame, pid: str, seed: str, shares: tuple[float, float] = (0.7, 0.15), pinned: tuple = ()) -> DataFrame:
     """train, dev, test by hash order; pinned people come first. No task orders all of them."""
     first = F.when(F.col(pid).isin(*pinned), 0).otherwise(1) if pinned else F.lit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import resample
@@ -26,6 +26,11 @@ def summarize(rows: DataFrame, person: str, group: str, metrics: list[str], draw
     return point.join(drawn, "metric").crossJoin(F.broadcast(persons))
 
 
+def complement(mean: Column, low: Column, high: Column) -> tuple[Column, Column, Column]:
+    """One less a mean with its interval: the ends change places."""
+    return 1 - mean, 1 - high, 1 - low
+
+
 def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """``left`` with ``delta``, its value less that of the row of ``right`` with the same key.
 

@@ -126,14 +126,23 @@ def numeric_errors(spark, sf):
     return counts.join(quantile.median(rows, "grp", "err"), "grp", "left").select("grp", "mae", r6(F.col("median")).alias("median_ae"), "valid", "attempted")
 
 
-_FIVE = ("exact", "nll", "brier")
+_METRICS = ("exact", "agreement", "nll", "brier", "invalid")
+#: Answers with a ninth invalid and a fifth without probabilities; one group has no negative log-likelihood at all.
+_SCORED = f"""{PREDS}, s AS (SELECT person, grp, CASE WHEN doc_id % 9 <> 0 AND guess = truth THEN 1e0 ELSE 0e0 END AS exact, CASE WHEN doc_id % 9 <> 0 THEN 1e0 - abs(guess - truth) ELSE 0e0 END AS agreement,
+  CASE WHEN doc_id % 5 <> 0 AND grp <> 'fr' THEN nll END AS nll, CASE WHEN doc_id % 5 <> 0 THEN brier END AS brier, CASE WHEN doc_id % 9 = 0 THEN 1e0 ELSE 0e0 END AS invalid FROM scored),
+long AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, person, grp, {m} AS value FROM s WHERE {m} IS NOT NULL" for m in _METRICS) + ")"
+
+
+def _scored(spark, sf):
+    invalid, scored = F.pmod("doc_id", F.lit(9)) == 0, F.pmod("doc_id", F.lit(5)) != 0
+    return preds(spark, sf).select("person", "grp", F.when(~invalid & (F.col("guess") == F.col("truth")), 1.0).otherwise(0.0).alias("exact"), F.when(~invalid, 1.0 - F.abs(F.col("guess") - F.col("truth"))).otherwise(0.0).alias("agreement"),
+        F.when(scored & (F.col("grp") != "fr"), F.col("nll")).alias("nll"), F.when(scored, F.col("brier")).alias("brier"), F.when(invalid, 1.0).otherwise(0.0).alias("invalid"))
 
 
-@query(f"""WITH {PREDS}, s AS (SELECT *, CASE WHEN guess = truth THEN 1e0 ELSE 0e0 END AS exact FROM scored)
-SELECT grp, metric, round(avg(m), 6) AS mean FROM (""" + " UNION ALL ".join(f"SELECT person, grp, '{m}' AS metric, avg({m}) AS m FROM s GROUP BY 1, 2" for m in _FIVE) + ") GROUP BY 1, 2")
+@query(f"WITH {_SCORED} SELECT grp, metric, round(avg(m), 6) AS mean FROM (SELECT person, grp, metric, avg(value) AS m FROM long GROUP BY ALL) GROUP BY 1, 2")
 def per_task_scores(spark, sf):
-    rows = preds(spark, sf).withColumn("exact", scoring.exact(F.col("truth"), F.col("guess")))
-    long = rows.unpivot(["person", "grp"], list(_FIVE), "metric", "value")
+    """Five metrics by task; a task without any value of a metric has no row for it."""
+    long = _scored(spark, sf).unpivot(["person", "grp"], list(_METRICS), "metric", "value").where("value is not null")
     means = long.groupBy("person", "grp", "metric").agg(F.avg("value").alias("m"))
     return means.groupBy("grp", "metric").agg(r6(F.avg("m")).alias("mean"))
 
@@ -264,12 +273,7 @@ def paired_diff(spark, sf):
     return got.select(r6(F.col("difference")).alias("difference"), "groups", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
-_METRICS = ("exact", "agreement", "nll", "brier", "invalid")
-
-
-@query(f"""WITH {PREDS}, s AS (SELECT person, grp, CASE WHEN doc_id % 9 <> 0 AND guess = truth THEN 1e0 ELSE 0e0 END AS exact, CASE WHEN doc_id % 9 <> 0 THEN 1e0 - abs(guess - truth) ELSE 0e0 END AS agreement,
-  CASE WHEN doc_id % 5 <> 0 AND grp <> 'fr' THEN nll END AS nll, CASE WHEN doc_id % 5 <> 0 THEN brier END AS brier, CASE WHEN doc_id % 9 = 0 THEN 1e0 ELSE 0e0 END AS invalid FROM scored),
-long AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, person, grp, {m} AS value FROM s WHERE {m} IS NOT NULL" for m in _METRICS) + f"""),
+@query(f"""WITH {_SCORED},
 means AS (SELECT metric, person, grp, avg(value) AS mean FROM long GROUP BY ALL), {_DRAWS},
 b AS (SELECT draw, metric, avg(m) AS m FROM (SELECT draw, metric, grp, sum(times * mean) / sum(times) AS m FROM means JOIN weights USING (person) GROUP BY ALL) GROUP BY ALL),
 ends AS (SELECT metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM b GROUP BY 1),
@@ -277,9 +281,7 @@ macro AS (SELECT metric, avg(m) AS macro, count(*) AS groups FROM (SELECT metric
 micro AS (SELECT metric, avg(value) AS micro, count(*) AS responses FROM long GROUP BY 1)
 SELECT metric, round(macro, 6) AS macro, round(lo, 6) AS lo, round(hi, 6) AS hi, round(micro, 6) AS micro, responses, groups, (SELECT count(DISTINCT person) FROM s) AS persons FROM macro JOIN micro USING (metric) JOIN ends USING (metric)""")
 def run_summary(spark, sf):
-    invalid, scored = F.pmod("doc_id", F.lit(9)) == 0, F.pmod("doc_id", F.lit(5)) != 0
-    rows = preds(spark, sf).select("person", "grp", F.when(~invalid & (F.col("guess") == F.col("truth")), 1.0).otherwise(0.0).alias("exact"), F.when(~invalid, 1.0 - F.abs(F.col("guess") - F.col("truth"))).otherwise(0.0).alias("agreement"),
-        F.when(scored & (F.col("grp") != "fr"), F.col("nll")).alias("nll"), F.when(scored, F.col("brier")).alias("brier"), F.when(invalid, 1.0).otherwise(0.0).alias("invalid"))
+    rows = _scored(spark, sf)
     got = summary.summarize(rows, "person", "grp", list(_METRICS), 100, "boot")
     return got.select("metric", *(r6(F.col(c)).alias(c) for c in ("macro", "lo", "hi", "micro")), "responses", "groups", "persons")
 
