@@ -106,7 +106,9 @@ def bisect(steps: Column, x: Column) -> Column:
 def hashed_vector(terms: Column, size: int, seed: str) -> Column:
     """Counts of terms by hash: a vector of ``size`` numbers that stands in for an encoder's."""
     slots = F.transform(terms, lambda t: F.pmod(hash_int(seed, t), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+    # Bound to a name of its own, or the hashes would be made again for each number.
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(held, lambda s: s == k)).cast("double"))
+    return F.transform(F.array(slots), counts)[0]
 
 
 def dot(a: Column, b: Column) -> Column:
