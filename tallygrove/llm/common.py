@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Words are runs of anything but blank and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,25 +27,45 @@ def scratch_dir(spark: SparkSession) -> str:
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="tallygrove-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _temporary()
     return path.rstrip("/")
 
 
+@cache
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="tallygrove-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     A lost executor costs no more than the running stage. Files stay until the
-    cluster clears its checkpoint folder, or until :func:`forget`.
+    cluster clears its checkpoint folder, or until :func:`forget`. The shuffle files of the
+    write go when it ends, and so do the tables that ``df`` was made from, as far as :func:`holding` names them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tallygrove/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    forget(*getattr(df, "_held", ()))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def holding(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """``df``, which alone still reads the scratch tables ``frames``: once it is materialized they go."""
+    df._held = frames
+    return df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in frames:
@@ -52,11 +76,6 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing holds any more; it looks for them when the driver collects garbage."""
-    spark._jvm.System.gc()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` has not, in any case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -140,14 +140,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(bench: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[ItemAutomaton]:
-    """Automata over all items, each of about ``max_words`` words, of one item at least."""
+def automata(bench: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> tuple[int, Iterator[ItemAutomaton]]:
+    """The number of automata over all items, each of about ``max_words`` words, of one item at least, and they themselves: each is built when it is asked for."""
     items = bench.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.regexp_count("t", F.lit(_WORD_JVM)))).first()[0] or 0
     parts = max(1, math.ceil(total / max_words))
-    for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(parts)) == k) if parts > 1 else items
-        yield ItemAutomaton([(r.i, words_of(r.t.encode())) for r in part.collect()], window)
+
+    def built() -> Iterator[ItemAutomaton]:
+        for k in range(parts):
+            part = items.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(parts)) == k) if parts > 1 else items
+            yield ItemAutomaton([(r.i, words_of(r.t.encode())) for r in part.collect()], window)
+
+    return parts, built()
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 200_000) -> DataFrame:
@@ -191,10 +195,11 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         return run
 
-    made = list_lookahead(automata(bench, id_col=item_id, text_col=item_text, window=window, max_words=max_words))
-    for k, (automaton, last) in enumerate(made):
+    parts, made = automata(bench, id_col=item_id, text_col=item_text, window=window, max_words=max_words)
+    for k in range(parts):
+        last = k == parts - 1
         keep_text = not last
-        shared = spark.sparkContext.broadcast(automaton)
+        shared = spark.sparkContext.broadcast(next(made))
         out = state.mapInArrow(scanner(shared, k > 0), schema if last else schema.replace("n_words long", "text string"))
         if not last:
             before, state = state, materialize(out)
@@ -203,15 +208,6 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
-def list_lookahead(xs: Iterator) -> Iterator[tuple]:
-    """Each element, and whether it is the last."""
-    held = next(xs)
-    for x in xs:
-        yield held, False
-        held = x
-    yield held, True
-
-
 def _places(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The words of a text and where they stand."""
     low = text.lower()
@@ -260,8 +256,7 @@ def remove_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
     old, found, changed = fresh(docs, "length", "found", "changed")
     own = docs.withColumn(old, F.length(text_col))
     span = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-    made = list_lookahead(automata(bench, item_id, item_text, window, max_words))
-    automaton, only = next(made)
+    parts, made = automata(bench, item_id, item_text, window, max_words)
 
     def replaced(batch: pa.RecordBatch, texts: list, width: int) -> list:
         return [pa.array(texts, pa.binary()).cast(batch.column(j).type) if j == at else batch.column(j) for j in range(width)]
@@ -302,14 +297,15 @@ def remove_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
 
         return run
 
-    if only:
-        out = own.mapInArrow(cleaner(spark.sparkContext.broadcast(automaton)), own.schema)
+    if parts == 1:
+        out = own.mapInArrow(cleaner(spark.sparkContext.broadcast(next(made))), own.schema)
     else:
         out, todo, first = None, own, True
         while True:
             state = todo.withColumn(found, F.array().cast(span))
-            for automaton in automata(bench, item_id, item_text, window, max_words):
+            for automaton in automata(bench, item_id, item_text, window, max_words)[1]:
                 shared = spark.sparkContext.broadcast(automaton)
+                del automaton
                 before, state = state, materialize(state.mapInArrow(finder(shared), state.schema))
                 forget(before)
                 shared.unpersist()

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, forget, materialize
+from .common import count_words, forget, holding, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -53,7 +53,8 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, tolerance:
     """Multipliers ``lam`` of the sources; ``cells(source, size, n)``, ``targets(source, source_size, target, mean)``.
 
     A source at its cap has lam = infinity (null here, rate ``most``); one
-    without words has lam = 0.
+    without words has lam = 0. Null is a source like any other; equal sizes are one cell; without sources the result is
+    empty. Steps that do not settle within ``max_rounds`` are an error.
     """
     full = (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)) | (F.col("source_size") == 0)
     start = F.lit(0.0)
@@ -77,12 +78,16 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 2.0, tolerance:
         after = materialize(new.select("source", "source_size", "target", "mean", F.coalesce(done, F.lit(True)).alias("still"), F.when(F.coalesce(done, F.lit(True)), F.col("lam")).otherwise(F.when(inside, step).otherwise(middle)).alias("lam"), "low", "high"))
         forget(now)
         now = after
+    if not now.where(~F.col("still")).isEmpty():
+        raise RuntimeError("multipliers did not settle")
     return now
 
 
-def round_copies(cells: DataFrame, most: int = 2, passes: int = 8) -> DataFrame:
+def round_copies(cells: DataFrame, most: int = 2, passes: int = 8, rounds: int = 20) -> DataFrame:
     """``cells(source, size, n, rate, target)`` with ``copies``: whole copies for the n documents together.
 
+    Passes go on, ``passes`` to a job, until none would change anything; beyond ``rounds`` jobs that is an error.
+
     Systematic rounding down the sizes keeps each size class within one document
     of its rate; each pass then mends what the source still misses with the
     largest documents that fit. All sums run over size classes of a source, of
@@ -91,18 +96,32 @@ def round_copies(cells: DataFrame, most: int = 2, passes: int = 8) -> DataFrame:
     source = Window.partitionBy("source")
     down = source.orderBy(F.col("size").desc())
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
     want = F.sum(F.col("n") * F.col("rate")).over(upto)
     out = cells.withColumn("e", F.floor(want + 0.5 + 1e-9))
     out = out.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("n") * most, F.col("e") - F.coalesce(F.lag("e").over(down), F.lit(0)))).cast("long")).drop("e")
-    for _ in range(passes):
+    for _ in range(rounds):
+        before, out = out, materialize(_mended(out.drop("open"), most, passes))
+        forget(before)
+        if out.where("open").isEmpty():
+            return holding(out.drop("open"), out)
+    raise RuntimeError("copies did not settle")
+
+
+def _mended(out: DataFrame, most: int, passes: int) -> DataFrame:
+    """``out`` after some passes, and ``open``: whether another one would change the row."""
+    source = Window.partitionBy("source")
+    before = source.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    for k in range(passes + 1):
         out = out.withColumn("left", F.round(F.col("target")).cast("long") - F.sum(F.col("copies") * F.col("size")).over(source))
         room = F.when((F.col("size") == 0) | (F.col("size") > F.abs("left")), F.lit(0)).when(F.col("left") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
         out = out.withColumn("room", room.cast("long"))
         out = out.withColumn("gone", F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0)))
         fit = F.when(F.col("size") > 0, F.floor((F.abs("left") - F.col("gone")) / F.greatest(F.col("size"), F.lit(1)))).otherwise(F.lit(0))
         move = F.greatest(F.lit(0), F.least(F.col("room"), fit)).cast("long")
-        out = out.withColumn("copies", F.col("copies") + F.signum("left").cast("long") * move).drop("left", "room", "gone")
+        if k == passes:
+            out = out.withColumn("open", F.coalesce(move > 0, F.lit(False)) & (F.col("left") != 0)).drop("left", "room", "gone")
+        else:
+            out = out.withColumn("copies", F.col("copies") + F.signum("left").cast("long") * move).drop("left", "room", "gone")
     return out
 
 
@@ -135,6 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     # Copies of a class: the whole part for all, one more for the first by hash order of buckets and, inside, of ids.
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.pmod("copies", "n")
     classes = materialize(rounded.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", whole.alias("whole"), extra.alias("extra")))
+    forget(*rounded._held)
     upto = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("skip", F.coalesce(F.sum("m").over(upto), F.lit(0)))
     offsets = offsets.join(classes, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialize
+from .common import connected_components, fresh, materialize, partitions
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _BITS = 64
@@ -141,6 +141,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 4, block: int = 4096, samp
     one in so many fingerprints (by hash) is counted to find such buckets. Both
     change only how the work is dealt, not the links' components.
     """
+    # The fingerprints are a small table, their index rows are not: dealt before they are made, or a few tasks would make them all.
+    fps = fps.repartition(partitions(fps.sparkSession), "fp")
     index = fps.select("fp", F.explode(_variant_keys(max_bits)).alias("key"))
     hot = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(sample)) == 0).select(F.explode(_variant_keys(max_bits)).alias("key")).groupBy("key").count()
     hot = materialize(hot.where(F.col("count") * sample > block).select("key", F.ceil(F.col("count") * F.lit(sample / block)).cast("int").alias("nb")))
