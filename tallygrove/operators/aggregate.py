@@ -23,11 +23,11 @@ def macro(rows: DataFrame, person: str, group: str, value: str) -> DataFrame:
     return per_group.agg(F.avg("mean").alias("macro"), F.count("*").alias("groups"))
 
 
-def transitions(rows: DataFrame, a: str, b: str, levels: list) -> DataFrame:
-    """Dense counts and row shares over all pairs of levels."""
-    spark = rows.sparkSession
-    level = spark.createDataFrame([(x,) for x in levels], "x string")
-    grid = level.select(F.col("x").alias("a")).crossJoin(F.broadcast(level.select(F.col("x").alias("b"))))
+def transitions(rows: DataFrame, a: str, b: str, levels: DataFrame, most: int = 10_000) -> DataFrame:
+    """Dense counts and row shares over all pairs of ``levels`` (one column, distinct); more than ``most`` levels are an error, since the matrix is dense."""
+    x = levels.columns[0]
+    held = levels.agg(F.sort_array(F.collect_set(x)).alias("_all")).withColumn("_all", F.when(F.size("_all") > most, F.raise_error(F.lit("too many levels")).cast(f"array<{dict(levels.dtypes)[x]}>")).otherwise(F.col("_all")))
+    grid = held.select(F.explode("_all").alias("a"), "_all").select("a", F.explode("_all").alias("b"))
     counts = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     dense = grid.join(counts, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return dense.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("a"))))

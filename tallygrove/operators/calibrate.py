@@ -11,13 +11,14 @@ from ..functions import scoring
 def fit_temperature(rows: DataFrame, person: str, group: str, probs: str, truth: str, points: int = 161, low: float = -1.0, high: float = 1.0) -> DataFrame:
     """``(t, nll)`` with the least macro loss on a log-spaced grid; the first of equals.
 
-    The grid is an array in each row, so the rows are read once and summed by
-    person and group before they leave their task.
+    Rows of a person and group with equal probabilities and truth are counted first, so the grid is tried once for each kind of
+    row; its losses are summed by person and group before they leave their task.
     """
     grid = [10 ** (low + (high - low) * i / (points - 1)) for i in range(points)]
-    long = rows.select(person, group, probs, truth, F.explode(F.array(*(F.lit(t) for t in grid))).alias("t"))
+    kinds = rows.groupBy(person, group, probs, truth).agg(F.count("*").alias("n"))
+    long = kinds.select(person, group, probs, truth, "n", F.explode(F.array(*(F.lit(t) for t in grid))).alias("t"))
     loss = scoring.nll(scoring.tempered(F.col(probs), F.col("t")), F.col(truth))
-    cells = long.select("t", person, group, loss.alias("x")).groupBy("t", person, group).agg(F.avg("x").alias("m"))
+    cells = long.select("t", person, group, (loss * F.col("n")).alias("x"), F.when(loss.isNotNull(), F.col("n")).alias("n")).groupBy("t", person, group).agg((F.sum("x") / F.sum("n")).alias("m"))
     per_t = cells.groupBy("t", group).agg(F.avg("m").alias("m")).groupBy("t").agg(F.avg("m").alias("nll"))
     return per_t.agg(F.min(F.struct("nll", "t")).alias("b")).select("b.t", "b.nll")
 

@@ -113,8 +113,7 @@ SELECT a, b, n, round(n / sum(n) OVER (PARTITION BY a), 6) AS share FROM g""")
 def transition_matrix(spark, sf):
     events = table(spark, sf, "events")
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    levels = [r[0] for r in events.select("event_type").distinct().collect()]
-    got = aggregate.transitions(events.select(F.col("event_type").alias("a"), after.alias("b")).where("b is not null"), "a", "b", levels)
+    got = aggregate.transitions(events.select(F.col("event_type").alias("a"), after.alias("b")).where("b is not null"), "a", "b", events.select("event_type").distinct())
     return got.select("a", "b", "n", r6(F.col("share")).alias("share"))
 
 
@@ -158,11 +157,11 @@ SELECT round(e.macro, 6) AS exact, round(a.macro, 6) AS partial, round(1 - e.mac
 
 @query(_RETEST)
 def retest_compare(spark, sf):
-    rows = pairs(spark, sf)
-    bounded = rows.where("grp <> 'error'")
-    means = bounded.groupBy("person", "grp").agg(F.avg("exact").alias("e"), F.avg("agreement").alias("a")).groupBy("grp").agg(F.avg("e").alias("e"), F.avg("a").alias("a")).agg(F.avg("e").alias("e"), F.avg("a").alias("a"))
-    out = rows.where("grp = 'error'").agg(F.count("*").alias("excluded"))
-    return means.crossJoin(out).select(r6(F.col("e")).alias("exact"), r6(F.col("a")).alias("partial"), r6(1 - F.col("e")).alias("changed"), r6(1 - F.col("a")).alias("disagreement"), "excluded")
+    # One pass: the excluded group's cells are counted beside the others' means.
+    cells = pairs(spark, sf).groupBy("person", "grp").agg(F.avg("exact").alias("e"), F.avg("agreement").alias("a"), F.count("*").alias("n")).groupBy("grp").agg(F.avg("e").alias("e"), F.avg("a").alias("a"), F.sum("n").alias("n"))
+    own = F.col("grp") != "error"
+    means = cells.agg(F.avg(F.when(own, F.col("e"))).alias("e"), F.avg(F.when(own, F.col("a"))).alias("a"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("excluded"))
+    return means.select(r6(F.col("e")).alias("exact"), r6(F.col("a")).alias("partial"), r6(1 - F.col("e")).alias("changed"), r6(1 - F.col("a")).alias("disagreement"), "excluded")
 
 
 @query(f"""WITH {PAIRS}, k AS (SELECT *, CASE WHEN grp IN ('click', 'view') THEN 'binary' ELSE 'ordinal' END AS kind FROM pairs)
