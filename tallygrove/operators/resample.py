@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bisect, hash_int
+from ..sources.scratch import written
 from . import order
 
 
@@ -25,7 +26,11 @@ def draw_weights(people: DataFrame, pid: str, draws: int, seed: str) -> DataFram
 
 
 def bootstrap_macro(means: DataFrame, pid: str, group: str, draws: int, seed: str) -> DataFrame:
-    """Interval of the macro mean when people are resampled with all their groups."""
+    """Interval of the macro mean when people are resampled with all their groups.
+
+    The means are written first: people are numbered, counted and joined from that small table, not from what it was made of.
+    """
+    means = written(means.select(pid, group, "mean"), "means")
     weights = draw_weights(means.select(pid).distinct(), pid, draws, seed)
     per_group = means.join(weights, pid).groupBy("draw", group).agg((F.sum(F.col("times") * F.col("mean")) / F.sum("times")).alias("m"))
     per_draw = per_group.groupBy("draw").agg(F.avg("m").alias("m"))
@@ -34,6 +39,7 @@ def bootstrap_macro(means: DataFrame, pid: str, group: str, draws: int, seed: st
 
 def bootstrap_groups(means: DataFrame, pid: str, group: str, draws: int, seed: str) -> DataFrame:
     """``(group, mean, lo, hi, persons)``: an interval for each group's mean over persons, all from the same draws of persons, so groups can be compared."""
+    means = written(means.select(pid, group, "mean"), "means")
     weights = draw_weights(means.select(pid).distinct(), pid, draws, seed)
     drawn = means.join(weights, pid).groupBy("draw", group).agg((F.sum(F.col("times") * F.col("mean")) / F.sum("times")).alias("m"))
     ends = drawn.groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))

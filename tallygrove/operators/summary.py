@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import resample
 
 
@@ -16,7 +17,7 @@ def summarize(rows: DataFrame, person: str, group: str, metrics: list[str], draw
     nowhere; ``persons`` are those of all rows. A metric without any value has no row.
     """
     long = rows.unpivot([person, group], metrics, "metric", "value").where("value is not null")
-    means = long.groupBy("metric", person, group).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    means = written(long.groupBy("metric", person, group).agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), F.count("*").alias("n")), "means")
     per_group = means.groupBy("metric", group).agg(F.avg("mean").alias("m"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     point = per_group.groupBy("metric").agg(F.avg("m").alias("macro"), (F.sum("total") / F.sum("n")).alias("micro"), F.sum("n").alias("responses"), F.count("*").alias("groups"))
     weights = resample.draw_weights(rows.select(person).distinct(), person, draws, seed)
@@ -46,6 +47,6 @@ def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame
 
 def paired_difference(left: DataFrame, right: DataFrame, key: str, person: str, group: str, value: str, draws: int, seed: str) -> DataFrame:
     """One row: macro difference ``difference``, its interval ``lo, hi``, and the number of ``groups``."""
-    means = paired(left, right, key, value).where("delta is not null").groupBy(person, group).agg(F.avg("delta").alias("mean"))
+    means = written(paired(left, right, key, value).where("delta is not null").groupBy(person, group).agg(F.avg("delta").alias("mean")), "deltas")
     point = means.groupBy(group).agg(F.avg("mean").alias("m")).agg(F.avg("m").alias("difference"), F.count("*").alias("groups"))
     return point.crossJoin(resample.bootstrap_macro(means, person, group, draws, seed).select("lo", "hi"))
