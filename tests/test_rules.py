@@ -120,7 +120,7 @@ def test_ambiguous_rows_stay_whole(spark):
 
 def test_question_positions(spark):
     rows = spark.createDataFrame([(1, [(" A ", [("q1",), ("q1",)]), ("B", [("q1",)])])], "pid int, blocks array<struct<BlockName:string,Questions:array<struct<QuestionID:string>>>>")
-    got = nested.question_records(rows, F.col("blocks")).select("bi", "qi", "block_name", "q.QuestionID").collect()
+    got = nested.question_records(rows, ["pid"], "blocks").select("bi", "qi", "block_name", nested.field("question", "QuestionID")).collect()
     assert sorted(map(tuple, got)) == [(0, 0, "A", "q1"), (0, 1, "A", "q1"), (1, 0, "B", "q1")]
 
 
