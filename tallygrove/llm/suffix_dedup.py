@@ -416,7 +416,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
     A byte of the UTF-8 text goes if it lies in a string of ``length`` bytes that also begins in a row with a smaller
     (integer) id. Strings are judged on the input and never cross rows. Rows of one id do not
     remove each other's bytes; null ids count as the largest number; null texts as empty; kept
-    bytes may begin or end within a character. Every row and all columns stay; an empty table gives an empty result.
+    bytes may begin or end within a character. Every row and all columns stay; an empty table gives an empty result. What a task
+    holds is its chunk and about 60 bytes for each byte of a text that is longer than a slice.
     """
     spark = docs.sparkSession
     ident, uid, key = fresh(docs, "row", "chunk", "order")
