@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import nested
+from ..functions.scalars import parent, tokens
+from ..operators import nested, retrieve
 from ..sources.tables import table
 from .registry import query
 
@@ -63,3 +64,22 @@ def merge_rows(spark, sf):
     items = lines.join(orders, "l_orderkey").select("o_custkey", "l_orderkey", *_ORDER, "l_returnflag", path.alias("path"))
     got = nested.merge_rows(items, ["o_custkey"], ["l_orderkey", *_ORDER], "path", ["l_partkey"], ["l_returnflag"], strict=False)
     return got.select("o_custkey", "run", "parent", "clash", "l_returnflag", F.array_join(F.transform("l_partkey", lambda p: p.cast("string")), ",").alias("parts"))
+
+
+@query("""WITH i AS (SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity::INT AS q, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+t AS (SELECT *, len(regexp_extract_all(lower('q' || l_orderkey || ' ' || o_orderpriority || ' flag ' || l_returnflag), '[a-z0-9]+')) AS shared, len(regexp_extract_all(lower('q' || l_orderkey || ' ' || o_orderpriority || ' flag ' || l_returnflag || ' row ' || l_partkey || ' ' || q), '[a-z0-9]+')) AS whole FROM i),
+p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, l_orderkey ORDER BY l_linenumber, l_partkey, q) AS k FROM t)
+SELECT o_custkey, count(*) AS items, sum(whole)::BIGINT AS tokens, sum(whole - CASE WHEN k > 1 THEN shared ELSE 0 END)::BIGINT AS packed FROM p GROUP BY 1""")
+def packing_metadata(spark, sf):
+    """Lengths in tokens of items and of the wording they share with their parent's other rows, and what a person's items take when that is said once."""
+    orders = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    items = table(spark, sf, "lineitem").join(orders, "l_orderkey")
+    path = F.concat(F.lit("q"), F.col("l_orderkey").cast("string"), F.lit("/row"), F.col("l_linenumber").cast("string"))
+    common = F.concat_ws(" ", parent(path), "o_orderpriority", F.lit("flag"), "l_returnflag")
+    whole = F.concat_ws(" ", common, F.lit("row"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    number = lambda text: F.size(tokens(text)).cast("long")
+    place = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    told = items.select("o_custkey", parent(path).alias("parent"), place.alias("place"), number(whole).alias("length"), number(common).alias("shared"))
+    sums = told.groupBy("o_custkey").agg(F.sum("length").alias("tokens"))
+    packed = retrieve.packed_length(told, "o_custkey", "parent", "place", "length", "shared")
+    return packed.join(sums, "o_custkey").select("o_custkey", "items", "tokens", F.col("packed").cast("long").alias("packed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibrate, match
 from ..sources import jsonl, sealed, tables
 from ..sources.scratch import shared_path
 from ..sources.tables import table
@@ -63,3 +64,37 @@ def kept_by_content(spark, sf):
     sealed.kept_results(docs.where(F.col("doc_id") % 3 == 0), digest, compute, path, "length 1")
     got = sealed.kept_results(docs, digest, compute, path, "length 1")
     return got.select("doc_id", "n", digest.isNotNull().alias("known"))
+
+
+@query("SELECT event_id, event_type, round(value * 2, 4) AS doubled FROM events")
+def append_resume(spark, sf):
+    """A run that was stopped after a part of its rows: what was appended counts, the rest is appended, nothing twice."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    path, schema = shared_path(spark, "run"), "event_id long, event_type string, doubled double"
+    work = lambda rows: rows.select("event_id", "event_type", F.round(F.col("value") * 2, 4).alias("doubled"))
+    tables.append_json(work(events.where(F.pmod("event_id", F.lit(3)) == 1)), path)
+    tables.append_json(work(match.remaining(events, jsonl.read_recovered(spark, path, schema), "event_id")), path)
+    return jsonl.read_recovered(spark, path, schema)
+
+
+_HALF = f"{h("'plan|' || c_custkey")} % 2"
+
+
+@query(f"""WITH s AS (SELECT c_custkey, CASE WHEN {_HALF} = 0 THEN 'train' ELSE 'test' END AS split FROM customer),
+m AS (SELECT split, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders JOIN s ON o_custkey = c_custkey GROUP BY 1) SELECT split, 'most' AS metric, round(most, 4) AS score FROM m""")
+def planned_metric(spark, sf):
+    """A plan and its splits as a JSON document: written whole, read back, and followed: the checkpoint rule, not the selection rule, names the metric."""
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("pid"))
+    half = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("plan|"), F.col("pid"))), 1, 8), 16, 10).cast("long"), F.lit(2))
+    path = shared_path(spark, "plan")
+    sealed.write_json(spark, {"rules": {"selection": "by mean", "checkpoint": "by largest"}}, f"{path}/plan.json")
+    # A document for every thousandth of the ids, so that none holds them all.
+    part = F.pmod(F.xxhash64("pid"), F.lit(1000))
+    lists = customer.groupBy(part.alias("part")).agg(*(F.collect_list(F.when(half == k, F.col("pid"))).alias(n) for k, n in enumerate(("train", "test")))).drop("part")
+    lists.write.json(f"{path}/splits")
+    rules = tables.json_document(spark, f"{path}/plan.json").select("rules.*").first().asDict()
+    metric = calibrate.metric_of(rules, {"by mean": "mean", "by largest": "most"}, "checkpoint")
+    splits = tables.membership(spark.read.schema("train array<string>, test array<string>").json(f"{path}/splits"), ("train", "test"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("pid"), "o_totalprice")
+    figures = orders.join(splits, "pid").groupBy("split").agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
+    return figures.select("split", F.lit(metric).alias("metric"), F.round(metric, 4).alias("score"))
