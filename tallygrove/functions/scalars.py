@@ -117,8 +117,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length one; a null vector stays null, a zero vector becomes null."""
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm))
+    # The length is bound to a name, or it would be summed again for each element.
+    scaled = F.transform(F.array(F.sqrt(dot(a, a))), lambda norm: F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)))
+    return scaled[0]
 
 
 def parent(path: Column) -> Column:

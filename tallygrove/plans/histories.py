@@ -59,7 +59,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(fused,
 
 def _ranked(asked: DataFrame, items: DataFrame) -> DataFrame:
     """Keyword, semantic and fused scores of all candidates."""
-    vector = lambda df, name: df.withColumn(name, unit(hashed_vector(tokens(F.col("text")), _SIZE, "vector")))
+    # In steps, so that neither terms nor counts are made twice.
+    vector = lambda df, name: df.withColumn(name, tokens(F.col("text"))).withColumn(name, hashed_vector(F.col(name), _SIZE, "vector")).withColumn(name, unit(F.col(name)))
     pairs = vector(items.where("not fixed"), "v").join(vector(asked, "q").select("conv_id", "q"), "conv_id").select("conv_id", "turn", dot(F.col("v"), F.col("q")).alias("semantic"))
     return retrieve.fused(_keyword(asked, items).join(pairs, ["conv_id", "turn"]), "conv_id", "turn", "keyword", "semantic")
 
