@@ -410,14 +410,15 @@ def _doomed(s: Suffixes, told: list[np.ndarray], ids: np.ndarray, length: int) -
     return start, start + number[piece] - 1 + length
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = 1_000_000, bucketed: bool = True) -> DataFrame:
     """``docs`` with ``kept`` (the bytes that stay) and ``spans`` (the removed runs as byte ranges, end exclusive), under other names where taken.
 
     A byte of the UTF-8 text goes if it lies in a string of ``length`` bytes that also begins in a row with a smaller
     (integer) id. Strings are judged on the input and never cross rows. Rows of one id do not
     remove each other's bytes; null ids count as the largest number; null texts as empty; kept
     bytes may begin or end within a character. Every row and all columns stay; an empty table gives an empty result. What a task
-    holds is its chunk and about 60 bytes for each byte of a text that is longer than a slice.
+    holds is its chunk and about 60 bytes for each byte of a text that is longer than a slice. ``bucketed`` needs a session
+    catalogue that takes bucketed Parquet tables; without it chunks are dealt in each round, with equal results.
     """
     spark = docs.sparkSession
     ident, uid, key = fresh(docs, "row", "chunk", "order")
@@ -430,7 +431,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: st
     shift = max(0, int(CHUNK_BYTES * rows / max(1, size)).bit_length() - 1)
     shift = min(shift, max(0, (rows // partitions(spark)).bit_length()))
     chunked = docs.withColumns({ident: F.monotonically_increasing_id(), key: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))}).withColumn(uid, F.shiftright(ident, shift))
-    source = _bucketed(chunked, uid, min(100_000, max(partitions(spark), size // (4 * CHUNK_BYTES))))
+    source = _bucketed(chunked, uid, min(100_000, max(partitions(spark), size // (4 * CHUNK_BYTES)))) if bucketed else materialize(chunked)
     buckets = int(max(partitions(spark), size >> 26))
     held = [source.columns.index(c) for c in (uid, ident, key, text_col)]
 

@@ -64,7 +64,7 @@ def test_small_alphabets(spark, docs_of, monkeypatch, length, gram, hot):
         rows.append((rng.choice([k, k, 7, None, -k]), rng.choice([text, text, text, None, "", "\x00" * 60])))
     rows += [rows[3]] * 3 + [(1000, shared[0] * 40), (-500, "a" * 200)]
     docs = docs_of(rows, parts=5).withColumns({c: F.lit(k) for k, c in enumerate(("kept", "bucket", "uid", "_tg_row", "keys"))})
-    got = suffix_dedup.remove_repeats(docs, length, gram, hot_docs=hot)
+    got = suffix_dedup.remove_repeats(docs, length, gram, hot_docs=hot, bucketed=gram != 8)
     assert got.columns[: len(docs.columns)] == docs.columns
     names = got.columns[len(docs.columns) :]
     have = [(r.doc_id, (r.text or "").encode(), bytes(r[names[0]]), [tuple(s) for s in r[names[1]]]) for r in got.collect()]
