@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.scalars import hash_int
+from ..functions.scalars import hash_int, quotient
 from ..operators import aggregate, baseline, quantile, resample, summary
 from ..sources.tables import table
 from .registry import CAT, PAIRS, PREDS, cat, h, macro_sql, pairs, preds, query, r6
@@ -202,8 +202,9 @@ def timing_rollup(spark, sf):
 
 @query(f"WITH {PAIRS}, e AS (SELECT abs(later - earlier) / later AS x FROM pairs) SELECT round(avg(x), 6) AS mean, round(max(x), 6) AS most, round(avg(CASE WHEN x <= 0.02 THEN 1e0 ELSE 0e0 END), 6) AS within FROM e")
 def length_match_diag(spark, sf):
-    x = F.abs(F.col("later") - F.col("earlier")) / F.col("later")
-    return pairs(spark, sf).select(x.alias("x")).agg(r6(F.avg("x")).alias("mean"), r6(F.max("x")).alias("most"), r6(F.avg((F.col("x") <= 0.02).cast("double"))).alias("within"))
+    """A later value of 0 has an infinite share, or none (NaN) if the earlier one was 0 too; a missing share is not within."""
+    x = quotient(F.abs(F.col("later") - F.col("earlier")), F.col("later"))
+    return pairs(spark, sf).select(x.alias("x")).agg(r6(F.avg("x")).alias("mean"), r6(F.max("x")).alias("most"), r6(F.avg(F.when(F.col("x") <= 0.02, 1.0).otherwise(0.0))).alias("within"))
 
 
 _RUNS = f"""runs AS (SELECT event_id, run, CASE WHEN run = 2 AND event_id % 29 = 0 THEN NULL ELSE {h("'run|' || run || '|' || event_id")} % 2 END AS v FROM events, (SELECT unnest([1, 2, 3]) AS run))"""
