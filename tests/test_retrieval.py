@@ -1,9 +1,15 @@
 """Queries against their SQL on made tables: values that the given ones lack."""
 
+import math
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrove import plans
+from tallygrove.functions.scalars import unit
+from tallygrove.operators import retrieve
 
 
 def both(spark, folder, name, **tables):
@@ -25,3 +31,21 @@ def test_shares_of_zero(spark, tmp_path, values):
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_seconds(event_id) AS ts", "'{}' AS props")
     got, want = both(spark, tmp_path, "length_match_diag", events=events)
     assert got == want
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_nearest_are_the_best_of_all_pairs(spark, block):
+    """Copies by the dozen, near ties, repeated keys, vectors of other lengths, zeros, nulls and NaN, over several batches and blocks."""
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)]
+    rows += [(k, [1.0, 2.0] * 4) for k in range(300, 420)] + [(k, [1.0, 2.0 + 1e-8 * k] * 4) for k in range(420, 440)]
+    rows += [(0, rows[1][1]), (50, rows[50][1]), (440, None), (441, [0.0] * 8), (442, [math.nan] * 8), (443, [1.0] * 5), (444, [2.0, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 8), (450, None), (460, [1.0, 1.0, 1.0, 2.0, 1.0]), (470, [math.nan, 1.0] * 4)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>").repartition(3).select("id", unit(F.col("v")).alias("e")).cache()
+    queries = vectors.where("id % 10 = 0")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got, want = (sorted((r.query, r["rank"], r.doc, str(r.score and round(r.score, 12) + 0.0)) for r in retrieve.top_k(x, "query", F.col("score"), "doc", 16).collect()) for x in (retrieve.nearest(vectors, queries, "id", "e", 16, block), retrieve.cosine(vectors, queries, "id", "e")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want and len(got) > 600
