@@ -49,3 +49,18 @@ def test_nearest_are_the_best_of_all_pairs(spark, block):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == want and len(got) > 600
+
+
+@pytest.fixture
+def corpus(spark):
+    """Items without a word or without a vector, vectors of no item or document."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(n))
+    docs = [(k, words(rng.randrange(6)), "en", "s", 1) for k in range(120)]
+    items = [(0, "a b"), (50, None), (100, "éé 漢"), (150, "c z"), (200, "zz"), (250, "h")]
+    return {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "benchmark": spark.createDataFrame(items, "item_id long, text string"), "embeddings": spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)], 1) for k in range(0, 220)], "vec_id long, embedding array<float>, label int")}
+
+
+def test_fusion_asks_only_items_with_words(spark, tmp_path, corpus):
+    got, want = both(spark, tmp_path, "rrf_hybrid", **corpus)
+    assert got == want and got
