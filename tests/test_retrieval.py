@@ -64,3 +64,11 @@ def corpus(spark):
 def test_fusion_asks_only_items_with_words(spark, tmp_path, corpus):
     got, want = both(spark, tmp_path, "rrf_hybrid", **corpus)
     assert got == want and got
+
+
+def test_policies_are_made_of_one_scoring(spark, tmp_path, corpus):
+    got, want = both(spark, tmp_path, "select_policy", **corpus)
+    assert got == want and got
+    # A branch of its own for every policy would compare the vectors three times.
+    compared = lambda name: plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("zip_with")
+    assert compared("select_policy") == compared("rrf_hybrid") > 0
