@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those whose shingles of five words are linked by a Jaccard similarity of 0.8, the one with the smallest id; null ids come last, wordless texts are one group."""
+    """One document stays of those whose shingles of five words are linked by a Jaccard similarity of 0.8 (found by SimHash, and by MinHash beyond its four bits), the one with the smallest id; null ids come last, wordless texts are one group."""
     return minhash.keep_one(docs)
 
 

@@ -56,3 +56,23 @@ def test_odd_rows(spark, odd_docs):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (False, 4), (False, 6), (True, 0)]
     assert got[0].__fields__ == odd_docs.columns
     assert minhash.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_simhash_links_near_copies_by_itself(spark, docs_of, monkeypatch):
+    """With a single band of 400 values MinHash finds next to nothing."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(1000)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:500], "changed", *words[501:]]))]
+    docs = docs_of(rows)
+    assert minhash.keep_one(docs, bands=1, band=400).count() < 35
+    assert {r.doc_id for r in minhash.keep_one(docs).collect()} == set(range(0, 60, 2))
+    monkeypatch.setattr(minhash, "simhash_pairs", lambda reps, max_bits: spark.createDataFrame([], "a long, b long"))
+    assert minhash.keep_one(docs, bands=1, band=400).count() > 50
+
+
+def test_pairs_within_four_bits_are_still_verified(spark):
+    """Links hold of the fingerprint, not yet of the sets: equal SimHashes meet their least set, near ones that one."""
+    reps = spark.createDataFrame([(5, 0), (3, 0), (9, 15), (4, 15), (7, -1), (8, 31 << 20)], "fp long, sim long")
+    assert sorted(map(tuple, minhash.simhash_pairs(reps, 4).collect())) == [(3, 4), (3, 5), (4, 9)]
