@@ -72,3 +72,14 @@ def test_policies_are_made_of_one_scoring(spark, tmp_path, corpus):
     # A branch of its own for every policy would compare the vectors three times.
     compared = lambda name: plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("zip_with")
     assert compared("select_policy") == compared("rrf_hybrid") > 0
+
+
+def test_policies_are_given_for_every_item(spark, tmp_path, corpus):
+    """Also for items whose number no fifty divides."""
+    more = spark.createDataFrame([(7, "a d"), (13, None), (49, "漢"), (51, "b g h"), (219, "c"), (300, "e")], "item_id long, text string")
+    corpus["benchmark"] = corpus["benchmark"].unionByName(more)
+    got, want = both(spark, tmp_path, "select_policy", **corpus)
+    assert got == want
+    rows, items = plans.QUERIES["select_policy"](spark, str(tmp_path)).collect(), {r.item_id for r in corpus["benchmark"].collect()}
+    assert {(r.query, r.doc) for r in rows if r.mode == "full_history"} == {(i, d) for i in items for d in range(120)}
+    assert all({r.mode for r in rows if r.query == i} == {"full_history", "hybrid", "semantic", "keyword"} for i in (0, 7, 51, 219))
