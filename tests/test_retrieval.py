@@ -83,3 +83,13 @@ def test_policies_are_given_for_every_item(spark, tmp_path, corpus):
     rows, items = plans.QUERIES["select_policy"](spark, str(tmp_path)).collect(), {r.item_id for r in corpus["benchmark"].collect()}
     assert {(r.query, r.doc) for r in rows if r.mode == "full_history"} == {(i, d) for i in items for d in range(120)}
     assert all({r.mode for r in rows if r.query == i} == {"full_history", "hybrid", "semantic", "keyword"} for i in (0, 7, 51, 219))
+
+
+def test_scores_are_summed_where_a_document_lies(spark, tmp_path, corpus):
+    """No shuffle of a row for every query that asks for a document's term."""
+    for name in ("benchmark", "documents"):
+        corpus[name].write.parquet(f"{tmp_path}/{name}.parquet")
+    items, docs = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("benchmark", "documents"))
+    scores = retrieve.bm25(items, docs, "item_id", "doc_id", "text")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc#" in plan and "Exchange hashpartitioning(query#" not in plan
